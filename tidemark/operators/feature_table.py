@@ -42,7 +42,7 @@ def event_types(df: DataFrame, event: str) -> list[str]:
 
 
 def feature_table(df: DataFrame, entity: str, event: str, time: str, value: str, types: Sequence[str] | None = None, as_of: int | None = None) -> DataFrame:
-    """The wide table: entity, then an array-free struct per type, named by it, of (n, last_ts, recency, total).
+    """The wide table: entity, then a struct e_{type} of (n, last_ts, recency, total) for each type.
 
     `as_of` is the moment that recency counts from, by default the latest time of the table.
     """
@@ -53,20 +53,23 @@ def feature_table(df: DataFrame, entity: str, event: str, time: str, value: str,
     if not types:
         return cells.where("false").select(F.col("entity").alias(entity))
     cells = cells.where(F.col("event_type").isin(types)) if len(types) <= MAX_TYPES else cells
-    packed = cells.repartition("entity").groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct("event_type", F.struct("n", "last_ts", "total")))).alias("m"))
+    row = _pivot(cells, types)
+    spread = [F.struct(*(F.col(f"`{t}_{c}`").alias(c) for c in ("n", "last_ts")), (F.lit(as_of).cast("long") - F.col(f"`{t}_last_ts`")).alias("recency"), F.col(f"`{t}_total`").alias("total")).alias(f"e_{t}") for t in types]
+    return row.select(F.col("entity").alias(entity), *spread)
 
-    def cell(t: str) -> Column:
-        c = F.try_element_at("m", F.lit(t))
-        recency = F.lit(as_of).cast("long") - c["last_ts"]
-        return F.struct(F.coalesce(c["n"], F.lit(0)).alias("n"), c["last_ts"].alias("last_ts"), recency.alias("recency"), c["total"].alias("total")).alias(f"e_{t}")
 
-    return packed.select(F.col("entity").alias(entity), *(cell(t) for t in types))
+def _pivot(cells: DataFrame, types: Sequence[str]) -> DataFrame:
+    """One row per entity with columns {type}_n, {type}_last_ts, {type}_total; laid out by entity, so pivoted in place."""
+    aggs = [F.coalesce(F.first("n"), F.lit(0)).alias("n"), F.first("last_ts").alias("last_ts"), F.first("total").alias("total")]
+    return cells.repartition("entity").groupBy("entity").pivot("event_type", list(types)).agg(*aggs)
 
 
 def unpivot_features(wide: DataFrame, entity: str) -> DataFrame:
     """(entity, event_type, n, last_ts, recency, total): the cells of the wide table with a count above zero."""
     columns = [c for c in wide.columns if c != entity and c.startswith("e_")]
+    names = ("n", "last_ts", "recency", "total")
     if not columns:
-        return wide.select(F.col(entity), F.lit("").alias("event_type"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("last_ts"), F.lit(None).cast("long").alias("recency"), F.lit(None).cast("double").alias("total"))
-    cells = F.array(*(F.when(F.col(f"`{c}`.n") > 0, F.struct(F.lit(c[2:]).alias("event_type"), F.col(f"`{c}`.n").alias("n"), F.col(f"`{c}`.last_ts").alias("last_ts"), F.col(f"`{c}`.recency").alias("recency"), F.col(f"`{c}`.total").alias("total"))) for c in columns))
-    return wide.select(F.col(entity), F.inline(F.array_compact(cells)))
+        return wide.select(F.col(entity), *(F.lit(None).cast(k).alias(c) for c, k in zip(("event_type", *names), ("string", "long", "long", "long", "double"))))
+    cells = F.map_from_arrays(F.array(*(F.lit(c[2:]) for c in columns)), F.array(*(F.col(f"`{c}`") for c in columns)))
+    long = wide.select(F.col(entity), F.explode(cells).alias("event_type", "cell"))
+    return long.where("cell.n > 0").select(F.col(entity), "event_type", *(f"cell.{c}" for c in names))

@@ -2,10 +2,10 @@
 
 A candidate delimiter is scored over all fields of the source on
   consistency: 1 / (1 + squared coefficient of variation of the piece counts of the fields that hold it), and
-  regularity:  the share of pieces whose type also occurs as a whole field of the source.
+  regularity:  the share of pieces whose type also occurs as a whole field of the source or between other delimiters.
 The type of a piece with a digit is its shape (digit runs as 0, letter runs as a); of other pieces the lower-case
-piece. The product must reach `threshold`. Scores are gathered in one aggregation over the whole source, whose
-result holds one row per candidate.
+piece. The product must reach `threshold`. The whole source is first aggregated to its distinct shapes, and the
+scores are gathered from these, weighted; the result holds one row per candidate.
 
 Defined results: a null, blank or placeholder field gives no rows; an empty slot takes no position; a value given
 twice comes out twice; a quote mark that is never closed is an ordinary character; other columns of the input,
@@ -29,7 +29,7 @@ PLACEHOLDERS = ("-", "n/a", "(none)")
 BRACKETS = (("[", "]"), ("{", "}"), ("(", ")"))
 
 _BLANK = r"[\s\u00a0\u3000]"
-_LONG = 64
+_BLANKS = " \t\n\r\x0b\x0c\u00a0\u3000"
 
 
 @dataclass(frozen=True)
@@ -64,12 +64,11 @@ def token_pattern(delimiters: Sequence[str]) -> str:
 
 
 def _trim(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{_BLANK}+|{_BLANK}+$", "")
+    return F.btrim(c, F.lit(_BLANKS))
 
 
-def _unbracket(c: Column) -> Column:
-    """The field without outer blanks and without the brackets around a whole list."""
-    text = _trim(c)
+def _unbracket(text: Column) -> Column:
+    """The trimmed field without the brackets around a whole list."""
     out = text
     for left, right in BRACKETS:
         inner = F.substring(text, F.lit(2), F.length(text) - 2)
@@ -94,45 +93,44 @@ def _unquote(token: Column) -> Column:
     return out
 
 
-def split_values(c: Column, model: DelimiterModel, placeholders: Sequence[str] = PLACEHOLDERS) -> Column:
-    """The array of the values of field c, in order; null for a null, blank or placeholder field."""
-    text = _trim(c)
-    slots = F.regexp_extract_all(_unbracket(c), F.lit(token_pattern(model.delimiters)), F.lit(1))
+def split_values(text: Column, model: DelimiterModel, placeholders: Sequence[str] = PLACEHOLDERS) -> Column:
+    """The array of the values of a trimmed field, in order; null for a null, blank or placeholder field."""
+    slots = F.regexp_extract_all(_unbracket(text), F.lit(token_pattern(model.delimiters)), F.lit(1))
     values = F.filter(F.transform(slots, lambda t: _trim(_unquote(_trim(t)))), lambda v: v != "")
-    return F.when(c.isNull() | (text == "") | _placeholder(text, placeholders), None).otherwise(values)
+    return F.when((text != "") & ~_placeholder(text, placeholders), values)
 
 
 def score_delimiters(df: DataFrame, field_name: str, candidates: Sequence[str] = CANDIDATES, placeholders: Sequence[str] = PLACEHOLDERS) -> DataFrame:
     """One row per candidate: cand, fields, consistency, regularity, score."""
-    text = _unbracket(F.col(field_name))
     stop = f"[{_class(candidates)}]|"
     strong = [c for c in candidates if c != " "]
-    src = df.select(text.alias("t")).where(F.col("t").isNotNull() & (F.col("t") != "") & ~_placeholder(_trim(F.col(field_name)), placeholders))
+    text = df.select(_trim(F.col(field_name)).alias("t")).where((F.col("t") != "") & ~_placeholder(F.col("t"), placeholders))
+    # fields that differ in their digits only are one shape, scored once with its weight
+    shapes = text.select(F.regexp_replace(F.lower(_unbracket(F.col("t"))), r"\d+", "0").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("w"))
     # what stands in quotes at a value's start is one piece of its own type
     masked = F.regexp_replace("t", rf"(^|[{_class(candidates)}])({_quoted(stop)})", "$1\u0001")
-    src = src.select(_trim(masked).alias("m"))
+    src = shapes.select("w", _trim(masked).alias("m"))
     present = F.filter(F.array(*map(F.lit, strong)), lambda c: F.contains(F.col("m"), c))
-    src = src.select("m", F.when(F.size(present) > 0, present).when(F.col("m").rlike(_BLANK), F.array(F.lit(" "))).otherwise(F.array().cast("array<string>")).alias("cands"))
-    pieces = F.when(F.size("cands") == 0, F.array("m")).when(F.col("cands")[0] == " ", F.split("m", f"{_BLANK}+")).otherwise(F.split("m", f"[{_class(strong)}]") if strong else F.array("m"))
-    src = src.select("m", "cands", F.filter(F.transform(pieces, _trim), lambda p: p != "").alias("pieces"))
+    src = src.select("w", "m", present.alias("p"))
+    src = src.select("w", "m", F.when(F.size("p") > 0, F.col("p")).when(F.col("m").rlike(_BLANK), F.array(F.lit(" "))).otherwise(F.array().cast("array<string>")).alias("cands"))
+    pieces = F.when(F.size("cands") == 0, F.array("m")).when(F.col("cands")[0] == " ", F.split("m", f"{_BLANK}+")).otherwise(F.split("m", f"[{_class(strong)}]"))
+    src = src.select("w", "m", "cands", F.filter(F.transform(pieces, _trim), lambda p: p != "").alias("pieces"))
 
     def kind(p: Column) -> Column:
-        shape = F.regexp_replace(F.regexp_replace(p, r"\p{L}+", "a"), r"\d+", "0")
-        low = F.lower(p)
-        return F.when(p.rlike(r"\d"), shape).when(F.length(low) > _LONG, F.lit("long")).otherwise(low)
-
-    # (what, candidate, key, weight): piece counts of the fields, and the types of pieces and of whole fields
-    counts = F.transform("cands", lambda c: F.struct(F.lit("n").alias("what"), c.alias("cand"), F.size("pieces").cast("string").alias("key")))
-    whole = F.when(
-        (F.size("cands") == 0) | (F.col("cands")[0] == " "), F.array(F.struct(F.lit("whole").alias("what"), F.lit("").alias("cand"), kind(F.col("m")).alias("key")))
-    ).otherwise(F.array().cast("array<struct<what:string,cand:string,key:string>>"))
-    typed = F.flatten(F.transform("cands", lambda c: F.transform("pieces", lambda p: F.struct(F.lit("type").alias("what"), c.alias("cand"), kind(p).alias("key")))))
-    rows = src.select(F.explode(F.concat(counts, whole, typed)).alias("r")).select("r.*").groupBy("what", "cand", "key").agg(F.count(F.lit(1)).alias("w"))
-
-    by_type = rows.where(F.col("what") == "type")
-    known = rows.where(F.col("what") == "whole").select("key", F.lit(1).alias("known")).union(df.sparkSession.range(1).select(F.lit("\u0001"), F.lit(1)))
-    known = known.groupBy("key").agg(F.max("known").alias("known"))
-    regular = by_type.join(known, "key", "left").groupBy("cand").agg((F.sum(F.when(F.col("known") == 1, F.col("w")).otherwise(0)) / F.sum("w")).alias("regularity"))
+        return F.when(p.contains("0"), F.regexp_replace(p, r"\p{L}+", "a")).otherwise(p)
+
+    # (what, candidate, key): piece counts of the fields, and the types of pieces and of whole fields
+    row = lambda what, cand, key: F.struct(F.lit(what).alias("what"), cand.alias("cand"), key.alias("key"))
+    counts = F.transform("cands", lambda c: row("n", c, F.size("pieces").cast("string")))
+    alone = (F.size("cands") == 0) | (F.col("cands")[0] == " ")
+    whole = F.when(alone, F.array(row("whole", F.lit(""), kind(F.col("m"))))).otherwise(F.array().cast("array<struct<what:string,cand:string,key:string>>"))
+    typed = F.flatten(F.transform("cands", lambda c: F.transform("pieces", lambda p: row("type", c, kind(p)))))
+    rows = src.select("w", F.explode(F.concat(counts, whole, typed)).alias("r")).select("r.*", "w").groupBy("what", "cand", "key").agg(F.sum("w").alias("w"))
+
+    # a type is known to a candidate if it stands alone somewhere, or between other delimiters, or is quoted
+    seen = rows.where(F.col("what") != "n").groupBy("key").agg(F.max(F.col("what") == "whole").alias("whole"), F.collect_set(F.when((F.col("what") == "type") & (F.col("cand") != " "), F.col("cand"))).alias("by"))
+    known = F.col("whole") | (F.size(F.array_except("by", F.array("cand"))) > 0) | (F.col("key") == "\u0001")
+    regular = rows.where(F.col("what") == "type").join(seen, "key").groupBy("cand").agg((F.sum(F.when(known, F.col("w")).otherwise(0)) / F.sum("w")).alias("regularity"))
     k = F.col("key").cast("double")
     mean, square = F.sum(k * F.col("w")) / F.sum("w"), F.sum(k * k * F.col("w")) / F.sum("w")
     steady = rows.where(F.col("what") == "n").groupBy("cand").agg(F.sum("w").alias("fields"), (mean * mean / square).alias("consistency"))
@@ -149,7 +147,8 @@ def infer_delimiters(df: DataFrame, field_name: str, candidates: Sequence[str] =
 def split_packed(df: DataFrame, field_name: str, key: str, model: DelimiterModel | None = None, placeholders: Sequence[str] = PLACEHOLDERS, least: int = 1) -> DataFrame:
     """(rec_id, pos, val): the values of every field that holds at least `least` of them, with their position from 0."""
     model = model or infer_delimiters(df, field_name, placeholders=placeholders)
-    values = df.select(F.col(key).alias("rec_id"), split_values(F.col(field_name), model, placeholders).alias("vals"))
+    trimmed = df.select(F.col(key).alias("rec_id"), _trim(F.col(field_name)).alias("t"))
+    values = trimmed.select("rec_id", split_values(F.col("t"), model, placeholders).alias("vals"))
     return values.where(F.size("vals") >= least).select("rec_id", F.posexplode("vals").alias("pos", "val"))
 
 
