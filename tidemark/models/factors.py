@@ -113,12 +113,12 @@ def _epoch(shards: DataFrame, shared, config: FactorConfig, epoch: int, p: list[
         train_pairs(mine, more, of_user, of_item, sorted(found), seen, config.loss, config.rate, config.max_sampled, config.user_l2, config.item_l2, config.seed + epoch)
         for which in range(4):
             changed = np.flatnonzero(np.atleast_2d((mine[which] != before[which]).T).any(axis=0))
-            for part in np.array_split(changed, max(1, len(changed) // 5000)):
+            for part in np.array_split(changed, -(-len(changed) // 5000)) if len(changed) else ():
                 vec = np.hstack([mine[which][part].reshape(len(part), -1), more[which][part].reshape(len(part), -1)]).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), which, np.int32)), pa.array(part.astype(np.int64)), pa.array(vec.tolist(), pa.list_(pa.float64()))], names=["which", "no", "vec"])
 
     changed = shards.mapInArrow(run, "which int, no long, vec array<double>")
-    mean = changed.groupBy("which", "no").agg(F.count(F.lit(1)).alias("n"), F.array(*(F.avg(F.col("vec")[i]) for i in range(2 * config.dim))).alias("vec"))
+    mean = changed.groupBy("which", "no").agg(F.count(F.lit(1)).alias("n"), F.array(*(F.avg(F.get("vec", F.lit(i))) for i in range(2 * config.dim))).alias("vec"))
     p, g = [a.copy() for a in p], [a.copy() for a in g]
     for r in mean.toLocalIterator():
         which, no = r["which"], r["no"]

@@ -54,13 +54,13 @@ def feature_table(df: DataFrame, entity: str, event: str, time: str, value: str,
         return cells.where("false").select(F.col("entity").alias(entity))
     cells = cells.where(F.col("event_type").isin(types)) if len(types) <= MAX_TYPES else cells
     row = _pivot(cells, types)
-    spread = [F.struct(*(F.col(f"`{t}_{c}`").alias(c) for c in ("n", "last_ts")), (F.lit(as_of).cast("long") - F.col(f"`{t}_last_ts`")).alias("recency"), F.col(f"`{t}_total`").alias("total")).alias(f"e_{t}") for t in types]
+    spread = [F.struct(F.coalesce(F.col(f"`{t}_n`"), F.lit(0)).alias("n"), F.col(f"`{t}_last_ts`").alias("last_ts"), (F.lit(as_of).cast("long") - F.col(f"`{t}_last_ts`")).alias("recency"), F.col(f"`{t}_total`").alias("total")).alias(f"e_{t}") for t in types]
     return row.select(F.col("entity").alias(entity), *spread)
 
 
 def _pivot(cells: DataFrame, types: Sequence[str]) -> DataFrame:
     """One row per entity with columns {type}_n, {type}_last_ts, {type}_total; laid out by entity, so pivoted in place."""
-    aggs = [F.coalesce(F.first("n"), F.lit(0)).alias("n"), F.first("last_ts").alias("last_ts"), F.first("total").alias("total")]
+    aggs = [F.first("n").alias("n"), F.first("last_ts").alias("last_ts"), F.first("total").alias("total")]
     return cells.repartition("entity").groupBy("entity").pivot("event_type", list(types)).agg(*aggs)
 
 
