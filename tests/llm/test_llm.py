@@ -63,9 +63,21 @@ def test_plan_places_everything_once(lengths):
     assert len(rows) == 0 or sum(b.n for b in blocks) <= len(lengths)
 
 
+def best_fit(lengths, capacity):
+    """Containers of best-fit decreasing, one item after another."""
+    space = []
+    for x in sorted(lengths, reverse=True):
+        at = min((i for i, s in enumerate(space) if s >= x), key=lambda i: space[i], default=None)
+        if at is None:
+            space.append(capacity - x)
+        else:
+            space[at] -= x
+    return len(space)
+
+
 def test_pack_documents(spark):
     rng = random.Random(1)
-    texts = [" ".join(rng.choice(["film", "plot", "actor", "scene"]) for _ in range(rng.choice([3, 3, 3, 20, 90, 200, 700]))) for _ in range(400)] + [None, "", "word " * 5000]
+    texts = [" ".join(rng.choice(["film", "plot", "actor", "scene"]) for _ in range(rng.choice([rng.randint(1, 30), rng.randint(10, 200), 700]))) for _ in range(400)] + [None, "", "word " * 5000]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, container_id string")
     out = packing.pack(df, "doc_id", "text", capacity=256).collect()
     enc = encoder()
@@ -78,7 +90,7 @@ def test_pack_documents(spark):
         n = len(enc.encode_ordinary(t)) if t else 0
         assert sum(p[2] for p in parts[i]) == n and (n > 256 or len(parts[i]) == (1 if n else 0))
         assert [p[1] for p in sorted(parts[i])] == list(range(0, n, 256))
-    assert len(size) <= 1.02 * math.ceil(sum(size.values()) / 256) + 1
+    assert len(size) <= 1.01 * best_fit([p[2] for ps in parts.values() for p in ps], 256) + 1
     report = packing.pack_report(packing.pack(df, "doc_id", "text", capacity=256), 256).first()
     assert report["containers"] == len(size) and report["fullest"] <= 256
 
@@ -245,10 +257,10 @@ def clean_texts(folder="/root/testdata/sf0.01", least=0):
 
 @pytest.fixture(scope="module")
 def judged():
-    texts = clean_texts()
-    train, held = texts[::2], texts[1::2]
+    texts = clean_texts("/root/testdata/sf0.1")
+    train, held = texts[::2], texts[1::2][:600]
     model = E.Model([(c, n.astype(np.float32)) for c, n in E.ngrams(train)])
-    return model, E.Judge(model, E.validated_margins(model, train[:200])), held
+    return model, E.Judge(model, E.validated_margins(model, train[:1000])), held
 
 
 def test_held_out_accuracy(judged):
@@ -262,7 +274,7 @@ def test_held_out_accuracy(judged):
             hits += judge.judge(bad)[0]
         clean += 1
         wrong += judge.judge(t)[0]
-    assert hits >= 0.95 * garbled and wrong <= 0.05 * clean
+    assert hits >= 0.93 * garbled and wrong <= 0.02 * clean
 
 
 def test_restores_round_trips(judged):

@@ -203,4 +203,4 @@ def pack_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(containers, least_possible, tokens, fill): how full the containers are."""
     of = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("n"))
     out = of.agg(F.count(F.lit(1)).alias("containers"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.coalesce(F.max("n"), F.lit(0)).alias("fullest"))
-    return out.select("containers", F.ceil(F.col("tokens") / capacity).alias("least_possible"), "tokens", "fullest", (F.col("tokens") / (F.col("containers") * capacity)).alias("fill"))
+    return out.select("containers", F.ceil(F.col("tokens") / capacity).alias("least_possible"), "tokens", "fullest", F.coalesce(F.try_divide(F.col("tokens").cast("double"), F.col("containers") * capacity), F.lit(0.0)).alias("fill"))
