@@ -133,7 +133,7 @@ def score_delimiters(df: DataFrame, field_name: str, candidates: Sequence[str] =
     regular = rows.where(F.col("what") == "type").join(seen, "key").groupBy("cand").agg((F.sum(F.when(known, F.col("w")).otherwise(0)) / F.sum("w")).alias("regularity"))
     k = F.col("key").cast("double")
     mean, square = F.sum(k * F.col("w")) / F.sum("w"), F.sum(k * k * F.col("w")) / F.sum("w")
-    steady = rows.where(F.col("what") == "n").groupBy("cand").agg(F.sum("w").alias("fields"), (mean * mean / square).alias("consistency"))
+    steady = rows.where(F.col("what") == "n").groupBy("cand").agg(F.sum("w").alias("fields"), F.coalesce(F.try_divide(mean * mean, square), F.lit(0.0)).alias("consistency"))
     return steady.join(regular, "cand").select("cand", "fields", "consistency", "regularity", (F.col("consistency") * F.col("regularity")).alias("score"))
 
 

@@ -688,7 +688,7 @@ def eval_summary(spark, d):
     return _round(out, *(c for c in out.columns if c != "tp"), digits=5)
 
 
-@query(_EVAL + ' select "user", string_agg(item::varchar, ',' order by item) as items from test group by 1')
+@query(_EVAL + """ select "user", string_agg(item::varchar, ',' order by item) as items from test group by 1""")
 def ground_truth(spark, d):
     _, test = splits.temporal(_ev(spark, d))
     return test.groupBy("user").agg(F.concat_ws(",", F.sort_array(F.collect_list("item")).cast("array<string>")).alias("items"))
