@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, spread
 from .tokens import VOCABULARY, count_tokens
 
 BINS = 4096
@@ -72,10 +72,18 @@ def rake(tokens: np.ndarray, targets: np.ndarray, caps: np.ndarray, rounds: int
     return np.where(tokens > 0, to_sources(copies), 0)
 
 
-def corpus_cells(df: DataFrame, key: str, text: str, source: str, lang: str, topic: Column, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(key, source, lang, topic, n_tokens) of all documents with a source, as a written table."""
-    labelled = df.where(F.col(source).isNotNull()).select(F.col(key), F.col(source).alias("source"), language(F.col(lang)).alias("lang"), F.coalesce(topic, F.lit("unknown")).alias("topic"), F.col(text).alias("text"))
-    return materialize(count_tokens(labelled, "text", [key, "source", "lang", "topic"], vocabulary), "corpus")
+def corpus_cells(df: DataFrame, key: str, text: str, source: str, lang: str, topic_key: str, topics: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(key, source, lang, topic, n_tokens) of all documents with a source, as a written table.
+
+    topics(topic_key, topic) is unique by its key. Texts are counted where they lie; only the counts are joined.
+    """
+    labelled = df.where(F.col(source).isNotNull()).select(F.col(key), F.col(source).alias("source"), language(F.col(lang)).alias("lang"), F.col(topic_key).alias("topic_key"), F.col(text).alias("text"))
+    counted = count_tokens(spread(labelled), "text", [key, "source", "lang", "topic_key"], vocabulary)
+    # null keys are spread over the tasks; they match no topic
+    salt = F.when(F.col("topic_key").isNull(), 1 + F.pmod(F.xxhash64(key), F.lit(997))).otherwise(0).cast("int")
+    of = topics.where(F.col(topic_key).isNotNull()).select(F.col(topic_key).alias("topic_key"), F.lit(0).alias("salt"), "topic")
+    joined = counted.withColumn("salt", salt).join(of, ["topic_key", "salt"], "left")
+    return materialize(joined.select(key, "source", "lang", F.coalesce("topic", F.lit("unknown")).alias("topic"), "n_tokens"), "corpus")
 
 
 def mix(corpus: DataFrame, targets: DataFrame, key: str, size: float | None = None, seed: int = 17) -> tuple[DataFrame, DataFrame]:

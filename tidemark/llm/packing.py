@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize, shuffle_partitions
+from ..session import materialize, shuffle_partitions, spread
 from .tokens import VOCABULARY, count_tokens
 
 CAPACITY = 2048
@@ -170,7 +170,7 @@ def cut(tokens: DataFrame, key: str, capacity: int) -> DataFrame:
 def pack(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, part, first_token, n_tokens, container_id): every part of every text and the container it goes into."""
     spark = df.sparkSession
-    tokens = materialize(count_tokens(df, text, [key], vocabulary), "tokens")
+    tokens = materialize(count_tokens(spread(df.select(key, text)), text, [key], vocabulary), "tokens")
     salts = min(256, max(16, shuffle_partitions(spark)))
     parts = cut(tokens, key, capacity).withColumn("salt", F.pmod(F.xxhash64(key, "part"), F.lit(salts)).cast("int"))
     # at most capacity x salts rows

@@ -79,13 +79,10 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """The topic of a document is the first genre of its movie."""
-    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source", "item")
     movies = table(spark, folder, "movies").select("item", "genres")
-    topic = split_packed(movies, "genres", "item", infer_delimiters(movies, "genres")).where("pos = 0").select(F.col("rec_id").alias("item"), F.lower("val").alias("topic"), F.lit(0).alias("spread"))
-    # null items are spread over the tasks; they match no movie
-    spread = F.when(F.col("item").isNull(), 1 + F.pmod(F.xxhash64("doc_id"), F.lit(997))).otherwise(0)
-    labelled = docs.withColumn("spread", spread.cast("int")).join(topic, ["item", "spread"], "left")
-    return mix(corpus_cells(labelled, "doc_id", "text", "source", "lang", F.col("topic")), table(spark, folder, "mix_targets"), "doc_id")
+    topics = split_packed(movies, "genres", "item", infer_delimiters(movies, "genres")).where("pos = 0").select(F.col("rec_id").alias("item"), F.lower("val").alias("topic"))
+    corpus = corpus_cells(table(spark, folder, "documents"), "doc_id", "text", "source", "lang", "item", topics)
+    return mix(corpus, table(spark, folder, "mix_targets"), "doc_id")
 
 
 def p9_selection(spark: SparkSession, folder: str) -> DataFrame:
