@@ -1,8 +1,8 @@
 """One row per entity with count, latest time, recency and total for every event type.
 
 Events are aggregated by (entity, type) to a compact long table, with partial aggregation before the shuffle, so a
-busy entity costs no task more than its types. The long table is laid out by entity and pivoted there, without
-another shuffle, over an explicit list of types.
+busy entity costs no task more than its types. The long table is then gathered by entity, at most one cell a type,
+and pivoted over an explicit list of types.
 
 Defined results: rows with a null entity or type are left out; a null value adds nothing, and a total of none but
 null values is null; a type that an entity doesn't have is a count of 0 with null latest time, recency and total;
@@ -41,35 +41,43 @@ def event_types(df: DataFrame, event: str) -> list[str]:
     return sorted(found)
 
 
+def pivoted(df: DataFrame, entity: str, event: str, time: str, value: str, types: Sequence[str], as_of: int | None = None) -> DataFrame:
+    """(entity, cells): one row per entity, its cells (n, last_ts, recency, total) aligned to the list of types."""
+    if as_of is None:
+        as_of = df.agg(F.max(F.col(time).cast("long"))).first()[0]
+    cells = long_table(df, entity, event, time, value).where(F.col("event_type").isin(list(types)))
+    cell = F.struct("n", "last_ts", (F.lit(as_of).cast("long") - F.col("last_ts")).alias("recency"), "total")
+    packed = cells.groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct("event_type", cell))).alias("m"))
+    none = F.struct(F.lit(0).cast("long").alias("n"), *(F.lit(None).cast(k).alias(c) for c, k in (("last_ts", "long"), ("recency", "long"), ("total", "double"))))
+    row = F.transform(F.lit(list(types)), lambda t: F.coalesce(F.try_element_at("m", t), none))
+    return packed.select(F.col("entity").alias(entity), row.alias("cells"))
+
+
 def feature_table(df: DataFrame, entity: str, event: str, time: str, value: str, types: Sequence[str] | None = None, as_of: int | None = None) -> DataFrame:
     """The wide table: entity, then a struct e_{type} of (n, last_ts, recency, total) for each type.
 
     `as_of` is the moment that recency counts from, by default the latest time of the table.
     """
     types = list(types) if types is not None else event_types(df, event)
-    if as_of is None:
-        as_of = df.agg(F.max(F.col(time).cast("long"))).first()[0]
-    cells = long_table(df, entity, event, time, value)
     if not types:
-        return cells.where("false").select(F.col("entity").alias(entity))
-    cells = cells.where(F.col("event_type").isin(types)) if len(types) <= MAX_TYPES else cells
-    row = _pivot(cells, types)
-    spread = [F.struct(F.coalesce(F.col(f"`{t}_n`"), F.lit(0)).alias("n"), F.col(f"`{t}_last_ts`").alias("last_ts"), (F.lit(as_of).cast("long") - F.col(f"`{t}_last_ts`")).alias("recency"), F.col(f"`{t}_total`").alias("total")).alias(f"e_{t}") for t in types]
-    return row.select(F.col("entity").alias(entity), *spread)
+        return df.where("false").select(entity)
+    row = pivoted(df, entity, event, time, value, types, as_of)
+    return row.select(entity, *(F.col("cells")[i].alias(f"e_{t}") for i, t in enumerate(types)))
 
 
-def _pivot(cells: DataFrame, types: Sequence[str]) -> DataFrame:
-    """One row per entity with columns {type}_n, {type}_last_ts, {type}_total; laid out by entity, so pivoted in place."""
-    aggs = [F.first("n").alias("n"), F.first("last_ts").alias("last_ts"), F.first("total").alias("total")]
-    return cells.repartition("entity").groupBy("entity").pivot("event_type", list(types)).agg(*aggs)
+def feature_cells(df: DataFrame, entity: str, event: str, time: str, value: str, types: Sequence[str] | None = None, as_of: int | None = None) -> DataFrame:
+    """(entity, event_type, n, last_ts, recency, total): the cells of the pivoted rows with a count above zero."""
+    types = list(types) if types is not None else event_types(df, event)
+    row = pivoted(df, entity, event, time, value, types or [""], as_of)
+    cells = row.select(entity, F.posexplode("cells").alias("pos", "cell")).where("cell.n > 0")
+    return cells.select(entity, F.get(F.lit(types or [""]), F.col("pos")).alias("event_type"), "cell.*")
 
 
 def unpivot_features(wide: DataFrame, entity: str) -> DataFrame:
-    """(entity, event_type, n, last_ts, recency, total): the cells of the wide table with a count above zero."""
+    """The cells of the wide table with a count above zero, as feature_cells gives them."""
     columns = [c for c in wide.columns if c != entity and c.startswith("e_")]
     names = ("n", "last_ts", "recency", "total")
     if not columns:
         return wide.select(F.col(entity), *(F.lit(None).cast(k).alias(c) for c, k in zip(("event_type", *names), ("string", "long", "long", "long", "double"))))
-    cells = F.map_from_arrays(F.array(*(F.lit(c[2:]) for c in columns)), F.array(*(F.col(f"`{c}`") for c in columns)))
-    long = wide.select(F.col(entity), F.explode(cells).alias("event_type", "cell"))
-    return long.where("cell.n > 0").select(F.col(entity), "event_type", *(f"cell.{c}" for c in names))
+    long = wide.select(F.col(entity), F.posexplode(F.array(*(F.col(f"`{c}`") for c in columns))).alias("pos", "cell")).where("cell.n > 0")
+    return long.select(F.col(entity), F.get(F.lit([c[2:] for c in columns]), F.col("pos")).alias("event_type"), *(f"cell.{c}" for c in names))

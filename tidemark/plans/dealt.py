@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.asof import asof_attributes, asof_versions
-from ..operators.feature_table import feature_table, unpivot_features
+from ..operators.feature_table import feature_cells, feature_table
 from ..operators.heavy_keys import per_key
 from ..operators.packed import infer_delimiters, score_delimiters, split_packed
 from ..operators.sessions import sessions
@@ -83,8 +83,8 @@ def p6_sessions(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_features(spark: SparkSession, folder: str) -> DataFrame:
     """The cells of the feature table, with latest time, recency and total."""
-    wide = feature_table(table(spark, folder, "visitor_events"), "visitorid", "event", "timestamp", "value")
-    return unpivot_features(wide, "visitorid").withColumn("total", F.round("total", 2))
+    cells = feature_cells(table(spark, folder, "visitor_events"), "visitorid", "event", "timestamp", "value")
+    return cells.withColumn("total", F.round("total", 2))
 
 
 def p7_wide(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,8 +93,7 @@ def p7_wide(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    wide = feature_table(table(spark, folder, "visitor_events"), "visitorid", "event", "timestamp", "value")
-    return unpivot_features(wide, "visitorid").select("visitorid", "event_type")
+    return feature_cells(table(spark, folder, "visitor_events"), "visitorid", "event", "timestamp", "value").select("visitorid", "event_type")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_values, p1_delimiters, p3_found, p3_profile, p4_found, p4_asof, p6_found, p6_sessions, p7_found, p7_features, p7_wide)}
