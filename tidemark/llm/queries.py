@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.packed import infer_delimiters, split_packed
+from ..session import materialize
 from ..sources.tables import table
 from .cooccurrence import cooccurring
 from .encoding import find_garbled
@@ -47,8 +48,9 @@ def p5_terms(spark: SparkSession, folder: str) -> DataFrame:
     out = []
     for field, freq, share in parts:
         # distinct records of all terms, the null term among them, are all distinct records
-        total = freq.agg(F.sum("records").alias("total"))
-        out.append(freq.crossJoin(F.broadcast(total)).where("term is not null").select(F.lit(field).alias("field"), F.col("term").cast("string").alias("val"), "occurrences", "records", mark(F.col("records"), RARE_BELOW, F.lit(share) * F.col("total")).alias("mark")))
+        freq = materialize(freq, "frequencies")
+        limit = share * (freq.agg(F.sum("records")).first()[0] or 0)
+        out.append(freq.where("term is not null").select(F.lit(field).alias("field"), F.col("term").cast("string").alias("val"), "occurrences", "records", mark(F.col("records"), RARE_BELOW, F.lit(limit)).alias("mark")))
     n = movies.count()
     freq = term_frequencies(genres, "val", ["item"])
     out.append(freq.select(F.lit("genre").alias("field"), F.col("term").alias("val"), "occurrences", "records", mark(F.col("records"), RARE_BELOW, F.lit(COMMON_GENRE * n)).alias("mark")))
