@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
+
 
 class UnknownIdError(ValueError):
     """An object or id that the dimension doesn't hold."""
@@ -15,9 +17,11 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Adds dense numbers from 0 in the given order without one task sorting all rows.
 
     Range partitioned and sorted; the offset of a partition is the rows of those before it, one number a partition.
+    The sorted rows are written once: sampled range bounds may differ between two runs, and both the offsets and the
+    rows must come from the same one.
     """
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    local = ordered.withColumn("__r", F.monotonically_increasing_id() - F.shiftleft(F.col("__p").cast("long"), 33))
+    local = materialize(ordered.withColumn("__r", F.monotonically_increasing_id() - F.shiftleft(F.col("__p").cast("long"), 33)), "numbered")
     sizes = local.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     offsets = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__o"))
     return local.join(F.broadcast(offsets), "__p").withColumn(name, F.col("__r") + F.col("__o")).drop("__p", "__r", "__o", "__n")
