@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import ranking
-from ..operators.gram import gram, neighbours
+from ..operators.gram import both_orders, gram_half, neighbours
+from ..session import materialize
 from .solvers import elastic_net, elastic_net_sgd
 
 SOLVERS = {"cd": elastic_net, "sgd": elastic_net_sgd}
@@ -45,50 +46,47 @@ def fit(x: DataFrame, config: LinearConfig = LinearConfig(), n_users: int | None
     if n_users is None:
         top = x.agg(F.max("user")).first()[0]
         n_users = int(top) + 1 if isinstance(top, int) else x.select("user").distinct().count()
-    g = gram(x)
-    near = neighbours(g, config.neighbours) if config.neighbours else g.where("i <> j").select(F.col("j").alias("dst"), F.col("i").alias("src"), "g", F.lit(0).alias("rank"))
+    half = materialize(gram_half(x), "gram")
+    g = both_orders(half)
+    if config.neighbours:
+        near = neighbours(g, config.neighbours)
+    else:
+        near = neighbours(g, 1 << 30)
     if targets is not None:
         near = near.join(targets.select(F.col("item").alias("dst")).distinct(), "dst", "left_semi")
-    left = near.select("dst", F.col("src").alias("i"))
-    right = near.select("dst", F.col("src").alias("j"))
-    inner = left.join(g, "i").join(right, ["dst", "j"]).groupBy("dst").agg(F.collect_list(F.struct("i", "j", "g")).alias("inner"))
-    outer = near.groupBy("dst").agg(F.collect_list(F.struct(F.col("src").alias("i"), "g")).alias("outer"))
+    # the products among the neighbours of each target: at most neighbours^2 pairs, each looked up in the half matrix
+    left = near.select("dst", F.col("src").alias("a"), F.col("rank").alias("ra"))
+    right = near.select("dst", F.col("src").alias("b"), F.col("rank").alias("rb"))
+    pairs = left.join(right, "dst").where("ra <= rb").select("dst", "ra", "rb", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"))
+    inner = pairs.join(half, ["i", "j"]).groupBy("dst").agg(F.collect_list(F.struct("ra", "rb", "g")).alias("inner"))
+    outer = near.groupBy("dst").agg(F.array_sort(F.collect_list(F.struct("rank", "src", "g"))).alias("outer"))
     solve = SOLVERS[config.optim]
     extra = {"eta0": config.eta0} if config.optim == "sgd" else {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solved(rows: list) -> tuple[list, list, list]:
-            size = max(len(o) for _, _, o in rows)
-            a, y = np.zeros((len(rows), size, size)), np.zeros((len(rows), size))
-            names = []
-            for r, (_, pairs, own) in enumerate(rows):
-                at = {s: k for k, s in enumerate(sorted(e["i"] for e in own))}
-                names.append(list(at))
-                for e in own:
-                    y[r, at[e["i"]]] = e["g"]
-                for e in pairs:
-                    a[r, at[e["i"]], at[e["j"]]] = e["g"]
-            w = solve(a, y, n_users, config.alpha, config.l1_ratio, config.positive_only, config.max_iter, tol=config.tol, **extra)
-            src, dst, weight = [], [], []
-            for r, k in zip(*np.nonzero(w)):
-                if k < len(names[r]):
-                    src.append(names[r][k])
-                    dst.append(rows[r][0])
-                    weight.append(float(w[r, k]))
-            return src, dst, weight
-
         for b in batches:
-            rows = sorted(zip(b.column("dst").to_pylist(), b.column("inner").to_pylist(), b.column("outer").to_pylist()), key=lambda r: len(r[2]))
+            own, among = b.column("outer"), b.column("inner")
+            n, m = own.value_lengths().to_numpy(), among.value_lengths().to_numpy()
             at = 0
-            while at < len(rows):
+            while at < b.num_rows:
                 # as many problems at once as a few million numbers allow
-                much = max(1, min(BATCH, 2_000_000 // max(1, len(rows[at][2])) ** 2))
-                src, dst, weight = solved(rows[at : at + much])
-                yield pa.RecordBatch.from_arrays([pa.array(src, kind_pa), pa.array(dst, kind_pa), pa.array(weight, pa.float64())], names=["src", "dst", "weight"])
+                much = max(1, min(BATCH, 2_000_000 // int(n[at : at + BATCH].max()) ** 2))
+                take = slice(at, at + much)
+                size = int(n[take].max())
+                o, e = own.slice(at, much).flatten(), among.slice(at, much).flatten()
+                a, y = np.zeros((len(n[take]), size, size)), np.zeros((len(n[take]), size))
+                ro, re = np.repeat(np.arange(len(n[take])), n[take]), np.repeat(np.arange(len(m[take])), m[take])
+                place = np.arange(len(ro)) - np.repeat(np.cumsum(n[take]) - n[take], n[take])
+                y[ro, place] = o.field("g").to_numpy()
+                ra, rb, value = (e.field(c).to_numpy() for c in ("ra", "rb", "g"))
+                a[re, ra - 1, rb - 1] = value
+                a[re, rb - 1, ra - 1] = value
+                w = solve(a, y, n_users, config.alpha, config.l1_ratio, config.positive_only, config.max_iter, tol=config.tol, **extra)[ro, place]
+                kept = np.flatnonzero(w)
+                yield pa.RecordBatch.from_arrays([o.field("src").take(pa.array(kept)), b.column("dst").slice(at, much).take(pa.array(ro[kept])), pa.array(w[kept])], names=["src", "dst", "weight"])
                 at += much
 
     kind = dict(x.dtypes)["item"]
-    kind_pa = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     return inner.join(outer, "dst").mapInArrow(run, f"src {kind}, dst {kind}, weight double")
 
 

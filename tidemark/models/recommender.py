@@ -62,7 +62,7 @@ class Recommender:
 
     def add(self, df: DataFrame, seq: str | None = "seq", update: bool = False) -> None:
         """Fold interactions into the state; rows with unknown parts are left out. With update, the last rating wins."""
-        good = ops.split_valid(ops.standard(df, seq if seq in df.columns else None))[0]
+        good = materialize(ops.split_valid(ops.standard(df, seq if seq in df.columns else None))[0], "arrivals")
         if update:
             fresh = ops.upsert(good)
             kept = self.state.join(fresh.select("user", "item"), ["user", "item"], "left_anti") if self.state is not None else None

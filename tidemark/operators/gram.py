@@ -67,6 +67,16 @@ def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def gram(x: DataFrame, block: int = BLOCK) -> DataFrame:
     """(i, j, g): all non-zero sums over users of w_i w_j, in both orders and on the diagonal. x is unique by (user, item)."""
+    return both_orders(gram_half(x, block))
+
+
+def both_orders(half: DataFrame) -> DataFrame:
+    both = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
+    return half.select("g", F.inline(both)).select("i", "j", "g")
+
+
+def gram_half(x: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The products of gram with i <= j."""
     kind = dict(x.dtypes)["item"]
     rows = x.where("user is not null and item is not null and weight is not null").select("user", F.struct("item", F.col("weight").cast("double").alias("w")).alias("e"))
     large = rows.groupBy("user").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("user", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
@@ -82,9 +92,7 @@ def gram(x: DataFrame, block: int = BLOCK) -> DataFrame:
         units = units.unionByName(lists.where("a = b or (size(left) > 0 and size(right) > 0)").select("left", "right"))
     half = units.mapInArrow(_products, f"i {kind}, j {kind}, g double")
     lower, upper = F.least("i", "j"), F.greatest("i", "j")
-    half = half.groupBy(lower.alias("i"), upper.alias("j")).agg(F.sum("g").alias("g"))
-    both = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
-    return half.select("g", F.inline(both)).select("i", "j", "g")
+    return half.groupBy(lower.alias("i"), upper.alias("j")).agg(F.sum("g").alias("g"))
 
 
 def neighbours(g: DataFrame, n: int) -> DataFrame:
