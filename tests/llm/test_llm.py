@@ -311,6 +311,20 @@ def test_find_garbled_over_a_table(spark):
     assert E.find_garbled(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").count() == 0
 
 
+def kana_texts():
+    return [t for t in clean_texts("/root/testdata/sf0.1") if sum(0x3040 <= ord(c) < 0x3100 for c in t) > 5 and not any(0xA1 <= ord(c) < 0x100 for c in t)]
+
+
+def test_no_record_vouches_for_itself(spark):
+    """A legacy chain that garbles a whole record and its copies: the record taught the model its own characters."""
+    written, *texts = [t for t in kana_texts() if 20 < len(t) < 200]
+    bad = E.from_bytes(written.encode("euc_jp", "ignore"), "latin_1")
+    assert not E._HARD.search(bad)
+    out = {r["doc_id"]: r for r in E.find_garbled(spark.createDataFrame(list(enumerate([bad, bad, bad, *texts])), "doc_id long, text string"), "doc_id", "text", sample=60).collect()}
+    assert all(out[i]["garbled"] and out[i]["restored"] == written.encode("euc_jp", "ignore").decode("euc_jp") for i in range(3))
+    assert sum(out[i]["garbled"] for i in range(3, 3 + len(texts))) <= 6
+
+
 # -- queries and SQL -----------------------------------------------------------------------------------------------------------
 
 
