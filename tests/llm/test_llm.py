@@ -325,6 +325,19 @@ def test_no_record_vouches_for_itself(spark):
     assert sum(out[i]["garbled"] for i in range(3, 3 + len(texts))) <= 6
 
 
+@pytest.mark.parametrize("written", ["euc_jp", "cp932", "utf_8"])
+def test_part_of_a_stretch(judged, written):
+    """Half of a sentence without blanks is garbled; the clean half is in no single-byte encoding."""
+    left, right = "映像がとても良かったです。", "説明書は日本語でした。"
+    bad = E.from_bytes(left.encode(written), "latin_1")
+    assert E.to_bytes(bad + right, "latin_1") is None
+    candidates = [o for o, _ in E.utf8_candidates(bad + right)] if written == "utf_8" else E.legacy_texts(bad + right)
+    assert left + right in candidates
+    if not E._HARD.search(bad):
+        found, _, restored = judged[1].judge(bad + right)
+        assert found and restored == left + right
+
+
 # -- queries and SQL -----------------------------------------------------------------------------------------------------------
 
 
