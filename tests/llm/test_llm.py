@@ -247,6 +247,12 @@ def test_pairs_edges(spark):
     assert cooccurring(one, [F.col("u")], "item", 1).count() == 0
 
 
+def test_p2_pairs_has_every_pair(spark):
+    met = duckdb.sql(f"""with d as (select distinct "user" as u, floor(tstamp / 86400) as day, item from '{SMALL}/interactions.parquet' where "user" is not null and item is not null and tstamp is not null)
+        select a.item, b.item, count(*) from d a join d b on a.u = b.u and a.day = b.day and a.item < b.item group by 1, 2""").fetchall()
+    assert {(r["item_a"], r["item_b"], r["n_ab"]) for r in queries.p2_pairs(spark, SMALL).collect()} == set(met)
+
+
 # -- wrongly decoded text --------------------------------------------------------------------------------------------------
 
 

@@ -23,12 +23,13 @@ def _day():
 
 
 def p2_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Every pair of items that meets in at least six baskets, with its lift and surprise."""
-    return cooccurring(table(spark, folder, "interactions"), [F.col("user"), _day()], "item", MIN_BASKETS)
+    """Every pair of items that meets in any basket, with its lift and surprise."""
+    return cooccurring(table(spark, folder, "interactions"), [F.col("user"), _day()], "item", 1)
 
 
 def p2_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return p2_pairs(spark, folder).select("item_a", "item_b", "n_ab", "n_a", "n_b", "n_baskets", F.round("lift", 6).alias("lift"))
+    """Of p2_pairs those that meet in at least six baskets, as its SQL has them."""
+    return p2_pairs(spark, folder).where(F.col("n_ab") >= MIN_BASKETS).select("item_a", "item_b", "n_ab", "n_a", "n_b", "n_baskets", F.round("lift", 6).alias("lift"))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
