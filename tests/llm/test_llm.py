@@ -240,6 +240,17 @@ def test_planted_pair_is_surprising(spark):
     assert sum(others) <= 0.02 * len(others)
 
 
+def test_q_values_do_not_depend_on_what_is_asked(spark):
+    rng = random.Random(9)
+    rows = [(b, rng.randint(1, 20)) for b in range(600) for _ in range(3)] + [(b, 100 + b // 3 * 2 + i) for b in range(90) for i in (0, 1)]
+    rows += [(b, i) for b in range(7) for i in (200, 201)] + [(b, 200 + b % 2) for b in range(100, 126)]
+    df = spark.createDataFrame(rows, "b long, item long")
+    of = lambda *a: {(r["item_a"], r["item_b"]): (r["q_value"], r["surprising"]) for r in cooccurring(df, [F.col("b")], "item", *a).collect()}
+    every = of(1)
+    for asked in (of(6), of(2, 2)):
+        assert asked and asked == {k: every[k] for k in asked}
+
+
 def test_pairs_edges(spark):
     empty = spark.createDataFrame([], "u long, item long")
     assert cooccurring(empty, [F.col("u")], "item", 1).count() == 0
