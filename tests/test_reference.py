@@ -257,3 +257,12 @@ def test_top_by_product_blocks_equal_brute_force(spark):
     s = q @ t.T + 0.5 * np.arange(50) + 0.5 * np.arange(5)[:, None]
     want = {(u, int(i)) for u in range(5) for i in np.argsort(-s[u])[:3]}
     assert {(r["user"], r["item"]) for r in got.collect()} == want
+
+
+def test_factor_queries_train_in_full(spark, monkeypatch):
+    from tidemark.plans import reference
+
+    seen = []
+    monkeypatch.setattr(factors, "fit", lambda x, users, items, config=None: seen.append(config))
+    reference._fm(spark, "/root/testdata/sf0.001")
+    assert seen == [factors.FactorConfig()]

@@ -572,7 +572,7 @@ def _fm(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     x = _x(spark, d)
     users = tags.entity_features(x.select(F.col("user").alias("entity")).distinct(), _user_tags(spark, d))
     items = tags.entity_features(x.select(F.col("item").alias("entity")).distinct())
-    return x, users, items, factors.fit(x, users, items, factors.FactorConfig(epochs=2))
+    return x, users, items, factors.fit(x, users, items, factors.FactorConfig())
 
 
 @query()
