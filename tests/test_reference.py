@@ -266,3 +266,15 @@ def test_factor_queries_train_in_full(spark, monkeypatch):
     monkeypatch.setattr(factors, "fit", lambda x, users, items, config=None: seen.append(config))
     reference._fm(spark, "/root/testdata/sf0.001")
     assert seen == [factors.FactorConfig()]
+
+
+@pytest.mark.parametrize("name", ["non_interacted_all", "non_negative_all"])
+def test_items_of_all_users_equal_sql(spark, name):
+    import duckdb
+
+    from tidemark.plans import reference
+
+    con = duckdb.connect()
+    con.execute("create view events as select * from '/root/testdata/sf0.001/events.parquet'")
+    want = set(con.execute(reference.ORACLE[name]).fetchall())
+    assert want and {(r["user"], r["item"]) for r in reference.QUERIES[name](spark, "/root/testdata/sf0.001").collect()} == want

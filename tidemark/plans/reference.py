@@ -223,6 +223,21 @@ def non_negative_items(spark, d):
     return ops.non_negative(st, st.where("item = 11").select("user"), DECAY, ops.clock(ev))
 
 
+@query(_STATE + ' select u."user", i.item from (select distinct "user" from st) u cross join (select distinct item from st) i where not exists (select 1 from st where st."user" = u."user" and st.item = i.item)')
+def non_interacted_all(spark, d):
+    """non_interacted_items for all users, not those of item 11 only."""
+    st = _st(spark, d)
+    return ops.non_interacted(st, st.select("user"))
+
+
+@query(_STATE + ' select u."user", i.item from (select distinct "user" from st) u cross join (select distinct item from st) i left join st on st."user" = u."user" and st.item = i.item where coalesce(st.value, 0) >= 0')
+def non_negative_all(spark, d):
+    """non_negative_items for all users, not those of item 11 only."""
+    ev = _ev(spark, d)
+    st = ops.upsert(ev)
+    return ops.non_negative(st, st.select("user"), DECAY, ops.clock(ev))
+
+
 @query(_IX + ' select "user", item, count(*) as contacts from ix group by 1, 2')
 def contact_counts(spark, d):
     return ops.contact_counts(_ix(spark, d))
