@@ -50,6 +50,27 @@ def test_increment_touches_only_its_items(spark):
     assert before == after and model.clock == 501.0
 
 
+def test_increments_carry_clock_and_arrival(spark, rows):
+    day = 86400.0
+    data = [(1, 1, 0.0, 5.0), (2, 1, 30 * day, 1.0), (1, 1, 1 * day, 2.0), (2, 2, 31 * day, 1.0), (3, 2, 32 * day, 1.0), (3, 1, 33 * day, 1.0)]
+    df = spark.createDataFrame([(*r, n) for n, r in enumerate(data)], SCHEMA)
+    settings = Settings(state=ops.StateConfig(decay_in_days=10.0))
+    once, twice = Recommender(spark, settings), Recommender(spark, settings)
+    once.add(df)
+    for lo, hi in ((0, 2), (2, 3), (3, 6)):
+        twice.add(df.where((df.seq >= lo) & (df.seq < hi)))
+    value = lambda m: {(r["user"], r["item"]): (round(r["value"], 9), r["tstamp"]) for r in m.state.collect()}
+    assert value(once) == value(twice) and once.clock == twice.clock and rows(once.pop) == rows(twice.pop)
+    # without numbers of arrival each call comes after the ones before, so popularity ends as by one call
+    later = [(r[0], r[1], float(n), r[3]) for n, r in enumerate(data)]
+    one, two = Recommender(spark), Recommender(spark)
+    plain = spark.createDataFrame(later, "user long, item long, tstamp double, rating double")
+    one.add(plain)
+    two.add(plain.where("tstamp < 3"))
+    two.add(plain.where("tstamp >= 3"))
+    assert rows(one.pop) == rows(two.pop) and one.last_arrival == two.last_arrival == 5
+
+
 def test_stream_equals_batch_and_is_idempotent(spark, tmp_path):
     df = spark.createDataFrame(DATA, SCHEMA)
     for n in range(3):
@@ -60,6 +81,17 @@ def test_stream_equals_batch_and_is_idempotent(spark, tmp_path):
     want = {(r["user"], r["item"]): r["value"] for r in ops.fold(df).collect()}
     assert {(r["user"], r["item"]): r["value"] for r in table.read().collect()} == want and calls == [0, 1, 2]
     assert table.apply(df, 1) is False
+    # later batches with late rows go on from the clock of all users, and rewrite only the buckets of their users
+    config = ops.StateConfig(decay_in_days=10.0)
+    day = 86400.0
+    late = [(1, 1, 0.0, 5.0, 0), (2, 1, 30 * day, 1.0, 1), (1, 1, 1 * day, 2.0, 2), (3, 3, 2 * day, 4.0, 3)]
+    whole = ops.fold(spark.createDataFrame(late, SCHEMA), config)
+    table = StateTable(spark, str(tmp_path / "decayed"), config, buckets=4)
+    for n in range(4):
+        assert table.apply(spark.createDataFrame(late[n : n + 1], SCHEMA), n)
+    value = lambda df: {(r["user"], r["item"]): (round(r["value"], 9), r["tstamp"]) for r in df.collect()}
+    assert value(table.read()) == value(whole) and table.current["clock"] == 30 * day + 1
+    assert table.apply(spark.createDataFrame([], SCHEMA), 4) and value(table.read()) == value(whole) and StateTable(spark, str(tmp_path / "none")).read() is None
     raw = spark.createDataFrame([(bytearray(b'{"user": 1, "item": 2, "tstamp": 3.0, "rating": 4.0, "seq": 5}'),), (None,)], "value binary")
     assert [tuple(r) for r in json_interactions(raw).where("user is not null").collect()] == [(1, 2, 3.0, 4.0, 5)]
 

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Fixed value: arguments of the sigmoid are cut to this distance from 0.
 SIGMOID_BOUND = 34.538776394910684
 
 #: First hour of each part of the day and its name; hours outside 0..23 are 'unknown'.

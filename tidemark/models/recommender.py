@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import interactions as ops
 from ..operators import metrics, ranking
 from ..operators.tags import cold_features, entity_features, put
-from ..session import materialize
+from ..session import discard, materialize
 from . import factors, linear, store
 
 KINDS = ("linear", "factors", "hybrid")
@@ -41,11 +41,14 @@ class Recommender:
         self.contacts: DataFrame | None = None
         self.pop: DataFrame | None = None
         self.clock: float | None = None
+        self.last_arrival = -1
+        self._outdated: tuple = ()
         self.sim: DataFrame | None = None
         self.params: DataFrame | None = None
         self.user_tags: DataFrame | None = None
         self.item_tags: DataFrame | None = None
         self.touched: DataFrame | None = None
+        self.touched_users: DataFrame | None = None
         self.samples_per_second: float | None = None
 
     # -- ingest ------------------------------------------------------------------------------------------------
@@ -61,23 +64,32 @@ class Recommender:
         self.user_tags, self.item_tags = (None if users else self.user_tags), (None if items else self.item_tags)
 
     def add(self, df: DataFrame, seq: str | None = "seq", update: bool = False) -> None:
-        """Fold interactions into the state; rows with unknown parts are left out. With update, the last rating wins."""
-        good = materialize(ops.split_valid(ops.standard(df, seq if seq in df.columns else None))[0], "arrivals")
+        """Fold interactions into the state; rows with unknown parts are left out. With update, the last rating wins.
+
+        The clock and the numbers of arrival go on from those of earlier calls. Tables that this call replaces are
+        deleted by the next one.
+        """
+        good = materialize(ops.split_valid(ops.standard(df, seq if seq in df.columns else None, self.last_arrival))[0], "arrivals")
         if update:
             fresh = ops.upsert(good)
             kept = self.state.join(fresh.select("user", "item"), ["user", "item"], "left_anti") if self.state is not None else None
             state = fresh if kept is None else kept.unionByName(fresh)
         else:
-            state = ops.fold(good, self.settings.state, self.state)
+            state = ops.fold(good, self.settings.state, self.state, self.clock)
         contacts, pop = ops.contact_counts(good), ops.popularity(good)
         if self.contacts is not None:
             contacts = self.contacts.unionByName(contacts).groupBy("user", "item").agg(F.sum("contacts").alias("contacts"))
             pop = self.pop.unionByName(pop).groupBy("item").agg(F.sum("freq").alias("freq"), F.max("last_seq").alias("last_seq"))
-        touched = good.select("item").distinct()
-        self.state, self.contacts, self.pop = (materialize(t, n) for t, n in ((state, "state"), (contacts, "contacts"), (pop, "popularity")))
+        touched, users = good.select("item").distinct(), good.select("user").distinct()
+        before = (self.state, self.contacts, self.pop, self.touched, self.touched_users)
         self.touched = materialize(touched if self.touched is None else self.touched.union(touched).distinct(), "touched")
+        self.touched_users = materialize(users if self.touched_users is None else self.touched_users.union(users).distinct(), "touched")
+        self.state, self.contacts, self.pop = (materialize(t, n) for t, n in ((state, "state"), (contacts, "contacts"), (pop, "popularity")))
         now = ops.clock(good)
-        self.clock = max(x for x in (now, self.clock) if x is not None) if now or self.clock else None
+        self.clock = max((x for x in (now, self.clock) if x is not None), default=None)
+        self.last_arrival = max(self.last_arrival, ops.last_arrival(good))
+        discard(good, *self._outdated)
+        self._outdated = before
 
     @property
     def matrix(self) -> DataFrame:
@@ -113,7 +125,8 @@ class Recommender:
             self.sim = materialize(sim, "similarity")
         if self.settings.kind in ("factors", "hybrid"):
             self.params = factors.fit(x, self._features("user"), self._features("item"), self.settings.factors, self.params)
-        self.touched = None
+        self._outdated += (self.touched, self.touched_users)
+        self.touched = self.touched_users = None
 
     def _features(self, side: str) -> DataFrame:
         return entity_features(self.state.select(F.col(side).alias("entity")).distinct(), self.user_tags if side == "user" else self.item_tags)
@@ -181,7 +194,7 @@ class Recommender:
 
     def save(self, path: str) -> int:
         tables = {n: getattr(self, n) for n in ("state", "contacts", "pop", "sim", "params", "user_tags", "item_tags") if getattr(self, n) is not None}
-        return store.save(path, tables, {"settings": asdict(self.settings), "clock": self.clock})
+        return store.save(path, tables, {"settings": asdict(self.settings), "clock": self.clock, "last_arrival": self.last_arrival})
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Recommender:
@@ -190,5 +203,5 @@ class Recommender:
         out = cls(spark, Settings(s["kind"], ops.StateConfig(**s["state"]), linear.LinearConfig(**s["linear"]), factors.FactorConfig(**s["factors"]), s["similarity_weight"]))
         for name, df in tables.items():
             setattr(out, name, df)
-        out.clock = meta["clock"]
+        out.clock, out.last_arrival = meta["clock"], meta["last_arrival"]
         return out

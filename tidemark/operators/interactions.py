@@ -6,7 +6,10 @@ with u the value decayed to the chain's first moment, so chains can be folded pi
 any share of all rows is folded in chunks of CHUNK arrivals at most.
 
 The clock is the largest tstamp + 1 that has arrived, over all users. It is found by chunk and then carried over the
-chunks' maxima, of which there is one per CHUNK arrivals.
+chunks' maxima, of which there is one per CHUNK arrivals. An increment goes on from the clock of those before it.
+
+One shuffle, by chunk of arrivals, serves the clock and the first pieces of the chains; a second one brings the pieces
+of a pair together.
 """
 
 from __future__ import annotations
@@ -17,8 +20,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip, decay_rate, decayed
+from .ids import numbered
 
-CHUNK = 1_000_000
+CHUNK = 50_000
 COLUMNS = ("user", "item", "tstamp", "rating")
 FUTURE_SECONDS = 180
 
@@ -40,19 +44,18 @@ class StateConfig:
         return decay_rate(self.decay_in_days)
 
 
-def standard(df: DataFrame, seq: str | None = None) -> DataFrame:
-    """The four columns, and seq: the given column, or the order of tstamp where there is none."""
+def standard(df: DataFrame, seq: str | None = None, after: int = -1) -> DataFrame:
+    """The four columns, and seq: the given column, or numbers above `after` in the order of tstamp where there is none."""
     missing = [c for c in COLUMNS if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     out = df.select(*COLUMNS, *([F.col(seq).cast("long").alias("seq")] if seq else []))
-    return out if seq else arrival_order(out)
+    return out if seq else arrival_order(out, after)
 
 
-def arrival_order(df: DataFrame) -> DataFrame:
-    """seq by tstamp, user, item: partition and position in a global sort."""
-    ordered = df.orderBy("tstamp", "user", "item", "rating")
-    return ordered.withColumn("seq", F.monotonically_increasing_id())
+def arrival_order(df: DataFrame, after: int = -1) -> DataFrame:
+    """seq by tstamp, user, item, rating: dense numbers that begin after the given one."""
+    return numbered(df, ["tstamp", "user", "item", "rating"], "seq").withColumn("seq", F.col("seq") + F.lit(after + 1))
 
 
 def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -71,12 +74,13 @@ def _chunk() -> Column:
     return F.floor(F.col("seq") / CHUNK)
 
 
-def with_clock(df: DataFrame) -> DataFrame:
-    """Adds clk, the clock after each row arrived."""
+def with_clock(df: DataFrame, clock: float | None = None) -> DataFrame:
+    """Adds chunk, and clk: the clock after each row arrived. clock: that of earlier increments, which it never falls below."""
     tops = df.groupBy(_chunk().alias("chunk")).agg(F.max("tstamp").alias("top"))
     before = tops.select("chunk", F.max("top").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
     own = F.max("tstamp").over(Window.partitionBy("chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("chunk", _chunk()).join(before, "chunk").withColumn("clk", F.greatest(own, F.coalesce("before", own)) + 1.0).drop("chunk", "before")
+    reached = F.greatest(F.col("own") + 1.0, F.col("before") + 1.0, F.lit(clock).cast("double"))
+    return df.withColumn("chunk", _chunk()).withColumn("own", own).join(before, "chunk").withColumn("clk", reached).drop("before", "own")
 
 
 def upsert(df: DataFrame) -> DataFrame:
@@ -85,10 +89,13 @@ def upsert(df: DataFrame) -> DataFrame:
     return df.groupBy("user", "item").agg(last.alias("s")).select("user", "item", "s.value", "s.tstamp")
 
 
-def fold(df: DataFrame, config: StateConfig = StateConfig(), state: DataFrame | None = None) -> DataFrame:
-    """(user, item, value, tstamp) after adding all interactions in order of arrival, to an earlier state if given."""
+def fold(df: DataFrame, config: StateConfig = StateConfig(), state: DataFrame | None = None, clock: float | None = None) -> DataFrame:
+    """(user, item, value, tstamp) after adding all interactions in order of arrival.
+
+    state and clock: those that earlier increments left; the clock is that of all users, so it can't be read off the state.
+    """
     rate, lo, hi = config.rate, config.min_value, config.max_value
-    rows = with_clock(df) if rate is not None else df.withColumn("clk", F.col("tstamp"))
+    rows = with_clock(df, clock) if rate is not None else df.withColumn("clk", F.col("tstamp")).withColumn("chunk", _chunk())
 
     def factor(since: Column, now: Column) -> Column:
         return decayed(F.lit(1.0), since, now, rate)
@@ -102,7 +109,7 @@ def fold(df: DataFrame, config: StateConfig = StateConfig(), state: DataFrame |
         low, high = clip(f * s["low"] + r["x"], lo, hi), clip(f * s["high"] + r["x"], lo, hi)
         return F.struct((f * s["a"]).alias("a"), (f * s["b"] + r["x"]).alias("b"), low.alias("low"), high.alias("high"), r["tstamp"].cast("double").alias("t"))
 
-    chunks = rows.groupBy("user", "item", _chunk().alias("chunk")).agg(steps.alias("steps"))
+    chunks = rows.groupBy("user", "item", "chunk").agg(steps.alias("steps"))
     chunks = chunks.select("user", "item", F.struct("chunk", F.col("steps")[0]["clk"].alias("first"), F.aggregate("steps", start, step).alias("s")).alias("c"))
     if state is not None:
         # the earlier state is a first chunk: a constant
@@ -128,6 +135,12 @@ def stats(df: DataFrame) -> DataFrame:
     )
 
 
+def last_arrival(df: DataFrame) -> int:
+    """The largest seq, -1 without rows."""
+    top = df.agg(F.max("seq")).first()[0]
+    return -1 if top is None else int(top)
+
+
 def clock(df: DataFrame) -> float | None:
     """The final clock: the largest tstamp + 1."""
     top = df.agg(F.max("tstamp")).first()[0]

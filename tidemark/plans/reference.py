@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,12 +10,15 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..models import factors, linear
+from ..models.recommender import Recommender, Settings
 from ..operators import interactions as ops
 from ..operators import metrics, ranking, splits, tags
 from ..operators.gram import gram, neighbours
 from ..operators.ids import decode, dictionary, encode, numbered
+from ..session import shared_dir
 from ..sources.datasets import shop_events
 from ..sources.tables import table
+from ..streaming.ingest import StateTable, start, stream_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -130,22 +134,28 @@ def state_clip_no_decay(spark, d):
     return _round(ops.fold(_od(spark, d)), "value")
 
 
+def _in_parts(rows: DataFrame, parts: int) -> list[DataFrame]:
+    """The arrivals in consecutive parts of about equal size."""
+    cuts = rows.approxQuantile("seq", [i / parts for i in range(1, parts)], 0.001) or [0.0] * (parts - 1)
+    bounds = [None, *map(int, cuts), None]
+    cut = lambda lo, hi: (F.lit(True) if lo is None else F.col("seq") > lo) & (F.lit(True) if hi is None else F.col("seq") <= hi)
+    return [rows.where(cut(lo, hi)) for lo, hi in zip(bounds, bounds[1:])]
+
+
 @query(_fold_sql(_IX, "ix", RATE))
 def state_fold_increments(spark, d):
-    """The same state by two increments: the first half of the arrivals, then the rest upon it."""
-    rows = ops.with_clock(_ix(spark, d)).drop("clk")
-    middle = rows.approxQuantile("seq", [0.5], 0.001)
-    cut = int(middle[0]) if middle else 0
-    first = ops.fold(rows.where(F.col("seq") <= cut), DECAY)
-    # the clock goes on from the first half: its latest row is carried as a row of its own pair and taken out again
-    return _round(_fold_after(rows, first, cut), "value")
+    """The same state by two increments: the first half of the arrivals, then the rest upon its state and clock."""
+    first, rest = _in_parts(_ix(spark, d), 2)
+    return _round(ops.fold(rest, DECAY, ops.fold(first, DECAY), ops.clock(first)), "value")
 
 
-def _fold_after(rows: DataFrame, first: DataFrame, cut: int) -> DataFrame:
-    top = rows.where(F.col("seq") <= cut).agg(F.max("tstamp").alias("tstamp"))
-    kinds = dict(rows.dtypes)
-    carry = top.where("tstamp is not null").select(F.lit(None).cast(kinds["user"]).alias("user"), F.lit(None).cast(kinds["item"]).alias("item"), "tstamp", F.lit(0.0).alias("rating"), F.lit(cut).cast("long").alias("seq"))
-    return ops.fold(rows.where(F.col("seq") > cut).unionByName(carry), DECAY, first).where("user is not null")
+@query(_fold_sql(_IX, "ix", RATE))
+def state_increments_decay(spark, d):
+    """The same state by three calls of the façade; late rows lie in later ones."""
+    model = Recommender(spark, Settings(state=DECAY))
+    for part in _in_parts(_ix(spark, d), 3):
+        model.add(part)
+    return _round(model.state, "value")
 
 
 @query(_IX + ' select count(*) as n_rows, count(distinct "user") as n_users, count(distinct item) as n_items, greatest(max("user"), 0) as max_user, greatest(max(item), 0) as max_item, max(tstamp) + 1.0 as clock from ix')
@@ -712,24 +722,25 @@ def ground_truth(spark, d):
 # -- streaming ----------------------------------------------------------------------------------------------------
 
 
+def _streamed(spark, d, config: ops.StateConfig) -> DataFrame:
+    base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    for part in _in_parts(_ix(spark, d), 4):
+        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    state = StateTable(spark, f"{base}/state", config)
+    start(stream_files(spark, f"{base}/in"), state, f"{base}/checkpoint").awaitTermination()
+    return _round(state.read(), "value")
+
+
 @query(_fold_sql(_IX, "ix", None))
 def stream_state(spark, d):
     """The state of all interactions, arrived as a stream of four files."""
-    import uuid
+    return _streamed(spark, d, ops.StateConfig())
 
-    from ..session import shared_dir
-    from ..streaming.ingest import StateTable, start, stream_files
 
-    base = f"{shared_dir(spark).removeprefix('file:')}/stream-{uuid.uuid4().hex}"
-    rows = _ix(spark, d)
-    cuts = rows.approxQuantile("seq", [0.25, 0.5, 0.75], 0.01) or [0.0, 0.0, 0.0]
-    bounds = [-1, *map(int, cuts), None]
-    for n, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
-        part = rows.where((F.col("seq") > lo) & (F.col("seq") <= hi)) if hi is not None else rows.where(F.col("seq") > lo)
-        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
-    state = StateTable(spark, f"{base}/state")
-    start(stream_files(spark, f"{base}/in"), state, f"{base}/checkpoint").awaitTermination()
-    return _round(state.read(), "value")
+@query(_fold_sql(_IX, "ix", RATE))
+def stream_state_decay(spark, d):
+    """The same with decay: the clock is carried from batch to batch."""
+    return _streamed(spark, d, DECAY)
 
 
 # row numbers are INT here and sums of whole numbers BIGINT; SQL's are wider

@@ -11,20 +11,25 @@ from .models.recommender import Recommender
 from .sources.datasets import from_iterable
 
 
+#: The texts of the answers.
+RUNNING, TRAINED = "Recommender System API is running", "Training successful"
+NO_TOKEN, NOT_FOUND = "Invalid X-Token header", "Not Found"
+NOT_TRAINED, NOT_RECOMMENDED = "Training failed", "Recommendation failed"
+
+
 class Service:
     """Requests on one model, one at a time; independent of the HTTP server, so that it can be tested without."""
 
     def __init__(self, model: Recommender, token: str):
         self.model, self.token, self.lock = model, token, threading.Lock()
-        self.arrivals = 0
 
     def handle(self, method: str, path: str, token: str | None, body: bytes) -> tuple[int, dict]:
         if (method, path) == ("GET", "/"):
-            return 200, {"message": "Recommender System API is running"}
+            return 200, {"message": RUNNING}
         if method != "POST" or path not in ("/fit", "/recommend"):
-            return 404, {"detail": "Not Found"}
+            return 404, {"detail": NOT_FOUND}
         if token != self.token:
-            return 400, {"detail": "Invalid X-Token header"}
+            return 400, {"detail": NO_TOKEN}
         try:
             given = json.loads(body or b"null")
             with self.lock:
@@ -33,13 +38,12 @@ class Service:
             return 422, {"detail": f"malformed request: {e}"}
         except Exception as e:  # noqa: BLE001
             logging.getLogger(__name__).error("request failed: %s", e)
-            return 500, {"detail": "Training failed" if path == "/fit" else "Recommendation failed"}
+            return 500, {"detail": NOT_TRAINED if path == "/fit" else NOT_RECOMMENDED}
 
     def fit(self, rows: list[dict]) -> dict:
         df = from_iterable(self.model.spark, [(r["user"], r["item"], r["timestamp"], r["rating"]) for r in rows])
-        self.model.fit(df.withColumn("seq", df["seq"] + self.arrivals))
-        self.arrivals += len(rows)
-        return {"message": "Training successful"}
+        self.model.fit(df.withColumn("seq", df["seq"] + self.model.last_arrival + 1))
+        return {"message": TRAINED}
 
     def recommend(self, request: dict) -> dict:
         user = request["user"]

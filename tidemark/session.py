@@ -57,7 +57,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df as a Parquet table into the shared folder and read it back.
 
-    Cuts the lineage with copies that outlive an executor. The files go when the application ends.
+    Cuts the lineage with copies that outlive an executor. The files go when the application ends, or by `discard`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -65,7 +65,19 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove the files of tables that `materialize` gave and that nothing will read again; others are left alone."""
+    for t in tables:
+        path = getattr(t, "__dict__", {}).get("written_at")
+        if path:
+            spark = t.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def spread(scan: DataFrame) -> DataFrame:
