@@ -72,4 +72,49 @@ def test_feature_types_given_and_bounds(spark, rows, monkeypatch):
 def test_feature_empty(spark, rows):
     empty = spark.createDataFrame([], "v long, e string, t long, x double")
     assert rows(unpivot_features(feature_table.feature_table(empty, "v", "e", "t", "x"), "v")) == []
-    assert rows(long_table(empty, "v", "e", "t", "x")) == []
+    assert rows(long_table(empty, "v", "e", "t", "x", [])) == []
+
+
+def test_spellings_beyond_the_broadcast(spark, rows, monkeypatch):
+    df = spark.createDataFrame(EVENTS, "v long, e string, t long, x double")
+    cells = lambda: rows(feature_table.feature_cells(df, "v", "e", "t", "x"))
+    looked_up = cells()
+    monkeypatch.setattr(feature_table, "MAX_SPELLINGS", 1)
+    assert cells() == looked_up and len(looked_up) == 4
+
+
+def test_feature_times_keep_their_type(spark):
+    df = spark.createDataFrame([(1, "a", 10.25, 1.0), (1, "a", 10.5, 1.0), (2, "a", 12.75, None), (2, "b", float("nan"), None)], "v long, e string, t double, x double")
+    got = {(r["v"], r["event_type"]): (r["last_ts"], r["recency"]) for r in feature_table.feature_cells(df, "v", "e", "t", "x").collect()}
+    assert got == {(1, "a"): (10.5, 2.25), (2, "a"): (12.75, 0.0), (2, "b"): (None, None)}
+    moments = df.where("t = t and e = 'a'").selectExpr("v", "e", "timestamp_micros(cast(t * 1000000 as bigint)) as t", "x")
+    got = {r["v"]: (r["last_ts"].microsecond, r["recency"]) for r in feature_table.feature_cells(moments, "v", "e", "t", "x").collect()}
+    assert got == {1: (500000, 2.25), 2: (750000, 0.0)}
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_fractional_times_never_see_later_versions(spark, hot, monkeypatch):
+    rng = random.Random(3)
+    at = lambda: rng.choice([10.2, 10.7, 10.7, rng.uniform(9, 12), float("nan")])
+    events = [(i, rng.choice([1, 1, 2]), at()) for i in range(2500)]
+    versions = [(i, rng.choice([1, 1, 2]), rng.choice("ab"), at()) for i in range(300)]
+    monkeypatch.setattr(asof, "shuffle_partitions", lambda _: 30 if hot else 1)
+    known = lambda t: None if t != t else t
+    e = spark.createDataFrame(events, "seq long, itemid long, timestamp double")
+    v = spark.createDataFrame(versions, "seq long, itemid long, property string, timestamp double")
+    got = [tuple(r) for r in asof.asof_versions(e, v, "itemid", "timestamp", "seq", "timestamp", "seq", "property", ["a", "b"]).collect()]
+    want = brute([(s, i, known(t)) for s, i, t in events], [(s, i, p, known(t)) for s, i, p, t in versions], ["a", "b"])
+    assert len(got) == len(set(got)) and set(got) == want
+    # one instant that holds most rows is spread over shards of its own
+    keys = e.select(e.itemid.alias("e"), e.timestamp.alias("t")).where("not isnan(t)")
+    assert any(len(set(c)) < len(c) for _, c in asof.hot_cuts(keys, 30))
+
+
+def test_times_of_two_types(spark, rows):
+    e = spark.createDataFrame([(1, 5, 10), (2, 5, 11)], "seq long, itemid long, timestamp long")
+    v = spark.createDataFrame([(1, 5, "a", 10.5)], "seq long, itemid long, property string, timestamp double")
+    assert rows(asof.asof_versions(e, v, "itemid", "timestamp", "seq", "timestamp", "seq", "property", ["a"])) == [(2, "a", 1)]
+    moments = lambda df: df.selectExpr("* except (timestamp)", "timestamp_micros(cast(timestamp * 1000000 as bigint)) as timestamp")
+    assert rows(asof.asof_versions(moments(e), moments(v), "itemid", "timestamp", "seq", "timestamp", "seq", "property", ["a"])) == [(2, "a", 1)]
+    with pytest.raises(ValueError):
+        asof.asof_versions(e, moments(v), "itemid", "timestamp", "seq", "timestamp", "seq", "property", ["a"])

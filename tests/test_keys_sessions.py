@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -119,3 +120,17 @@ def test_plan_has_no_python_udf_per_row(spark):
     df = spark.range(10).select(F.col("id").alias("v"), F.col("id").alias("t"))
     plan = sessions(df, "v", "t", 5)._jdf.queryExecution().toString()
     assert "MapInArrow" in plan and "BatchEvalPython" not in plan
+
+
+def test_sessions_of_fractional_times(spark, rows):
+    df = spark.createDataFrame([(1, 0.1), (1, 10.1), (1, 21.0), (2, 5.0), (2, float("nan"))], "v long, t double")
+    assert rows(sessions(df, "v", "t", 10, resolution=0.1)) == [(1, 0.1, 10.1, 10.0, 2), (1, 21.0, 21.0, 0.0, 1), (2, 5.0, 5.0, 0.0, 1)]
+    with pytest.raises(Exception, match="fractional times"):
+        sessions(df, "v", "t", 10).collect()
+    with pytest.raises(ValueError):
+        sessions(df, "v", "t", 10.05, resolution=0.1)
+    assert rows(sessions(df.where("t = floor(t)"), "v", "t", 10)) == [(1, 21.0, 21.0, 0.0, 1), (2, 5.0, 5.0, 0.0, 1)]
+    moments = df.where("not isnan(t)").selectExpr("v", "timestamp_micros(cast(round(t * 1000000) as bigint)) as t")
+    assert [(r["v"], r["duration"], r["n_events"]) for r in sessions(moments, "v", "t", 10).orderBy("v", "start_ts").collect()] == [(1, 10.0, 2), (1, 0.0, 1), (2, 0.0, 1)]
+    with pytest.raises(ValueError):
+        sessions(df.selectExpr("v", "cast(t as string) as t"), "v", "t", 10)

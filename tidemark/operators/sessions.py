@@ -10,19 +10,23 @@ to the last event, and the events are counted into them.
 Rows are range partitioned on (entity, time), so a busy entity is divided over many partitions. Only the first and
 the last run of a partition can continue elsewhere; they are flagged and joined where neighbours are near enough.
 
-Defined results: rows with a null entity or time belong to no session; repeated rows count each; equal timestamps
+A bit is one unit of whole-number times and a microsecond of timestamps. Fractional times need a `resolution`, the length
+of a bit in their unit, and are placed on its nearest multiple; without one a fraction is an error, never cut off.
+
+Defined results: rows with a null entity or time (NaN counts as null) belong to no session; repeated rows count each; equal timestamps
 share a bit; a null category counts under the key '' of `by`; an empty table gives no sessions; other columns are
 ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .heavy_keys import changes
 
@@ -111,13 +115,41 @@ def _closing(gap: int, by: bool):
     return run
 
 
-def sessions(df: DataFrame, entity: str, time: str, gap: int, by: str | None = None, partitions: int | None = None) -> DataFrame:
+def _bits(df: DataFrame, time: str, gap: float, resolution: float | None) -> tuple[Column, int, Callable[[Column], Column], Callable[[Column], Column]]:
+    """(bit of a row, gap in bits, time of a bit, length of bits) for the type of the time column."""
+    kind, t = df.schema[time].dataType, F.col(time)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        back = kind.simpleString() if not isinstance(kind, T.DateType) else "timestamp"
+        return F.unix_micros(t.cast("timestamp")), _whole(gap * 1_000_000, "gap"), lambda b: F.timestamp_micros(b).cast(back), lambda b: b / 1_000_000
+    if isinstance(kind, T.IntegralType) and resolution is None:
+        return t.cast("long"), _whole(gap, "gap"), lambda b: b, lambda b: b
+    if not isinstance(kind, T.NumericType):
+        raise ValueError(f"times of type {kind.simpleString()} have no bits")
+    x = t.cast("double")
+    known = F.when(~F.isnan(x), x)
+    if resolution is None:
+        bit = F.when(known == F.floor(known), F.floor(known)).when(known.isNotNull(), F.raise_error(F.lit(f"fractional times in {time}: give a resolution")).cast("long"))
+        return bit, _whole(gap, "gap"), lambda b: b.cast(kind), lambda b: b.cast(kind)
+    a_unit = round(1 / resolution) if resolution < 1 and abs(round(1 / resolution) * resolution - 1) < 1e-9 else None
+    to, of = (lambda c: c * a_unit, lambda b: b / a_unit) if a_unit else (lambda c: c / resolution, lambda b: b * resolution)
+    return F.round(to(known)).cast("long"), _whole(gap / resolution, "gap"), of, of
+
+
+def _whole(x: float, what: str) -> int:
+    if abs(x - round(x)) > 1e-6:
+        raise ValueError(f"the {what} isn't a whole number of bits")
+    return round(x)
+
+
+def sessions(df: DataFrame, entity: str, time: str, gap: float, by: str | None = None, partitions: int | None = None, resolution: float | None = None) -> DataFrame:
     """(entity, start_ts, end_ts, duration, n_events[, counts]): the sessions of every entity.
 
-    Neighbours at most `gap` time units apart stay together. With `by`, counts is a map of category to events.
+    Neighbours at most `gap` apart stay together; gap and duration are in the unit of the times, seconds for timestamps.
+    resolution: the length of a bit, for fractional times. With `by`, counts is a map of category to events.
     """
+    bit, gap, moment, length = _bits(df, time, gap, resolution)
     kind = [F.coalesce(F.col(by).cast("string"), F.lit("")).alias("kind")] if by else []
-    src = df.select(F.col(entity).alias("entity"), F.col(time).cast("long").alias("t"), *kind).where(F.col("entity").isNotNull() & F.col("t").isNotNull())
+    src = df.select(F.col(entity).alias("entity"), bit.alias("t"), *kind).where(F.col("entity").isNotNull() & F.col("t").isNotNull())
     ranged = (src.repartitionByRange(partitions, "entity", "t") if partitions else src.repartitionByRange("entity", "t")).sortWithinPartitions("entity", "t")
     schema = f"entity {dict(src.dtypes)['entity']}, start_ts long, end_ts long, n long, {'counts map<string,long>, ' if by else ''}edge boolean"
     runs = ranged.mapInArrow(_closing(gap, by is not None), schema)
@@ -131,4 +163,5 @@ def sessions(df: DataFrame, entity: str, time: str, gap: int, by: str | None = N
         F.collect_list("counts"), F.create_map().cast("map<string,bigint>"), lambda a, m: F.map_zip_with(a, m, lambda _, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))
     ) if by else None
     out = runs.groupBy("entity", "own", "session").agg(F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"), F.sum("n").alias("n_events"), *([merged.alias("counts")] if by else []))
-    return out.select(F.col("entity").alias(entity), "start_ts", "end_ts", (F.col("end_ts") - F.col("start_ts")).alias("duration"), "n_events", *(["counts"] if by else []))
+    start, end = F.col("start_ts"), F.col("end_ts")
+    return out.select(F.col("entity").alias(entity), moment(start).alias("start_ts"), moment(end).alias("end_ts"), length(end - start).alias("duration"), "n_events", *(["counts"] if by else []))

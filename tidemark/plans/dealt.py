@@ -81,6 +81,11 @@ def p6_sessions(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("visitorid", "start_ts", "end_ts", "duration", "n_events", F.explode("counts").alias("event", "n"))
 
 
+def p6_user_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """The sessions of the users of interactions, whose times hold fractions of seconds: bits of a millisecond."""
+    return sessions(table(spark, folder, "interactions"), "user", "tstamp", 3600, resolution=0.001).withColumn("duration", F.round("duration", 3))
+
+
 def p7_features(spark: SparkSession, folder: str) -> DataFrame:
     """The cells of the feature table, with latest time, recency and total."""
     cells = feature_cells(table(spark, folder, "visitor_events"), "visitorid", "event", "timestamp", "value")
@@ -96,7 +101,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return feature_cells(table(spark, folder, "visitor_events"), "visitorid", "event", "timestamp", "value").select("visitorid", "event_type")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_values, p1_delimiters, p3_found, p3_profile, p4_found, p4_asof, p6_found, p6_sessions, p7_found, p7_features, p7_wide)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_values, p1_delimiters, p3_found, p3_profile, p4_found, p4_asof, p6_found, p6_sessions, p6_user_sessions, p7_found, p7_features, p7_wide)}
 
 _RUNS = f"""
 with e as (select visitorid, timestamp as t, event from visitor_events where visitorid is not null and timestamp is not null),
@@ -104,6 +109,13 @@ m as (select *, case when t - lag(t) over (partition by visitorid order by t) <=
 s as (select *, sum(fresh) over (partition by visitorid order by t, fresh desc rows unbounded preceding) as sid from m)
 """
 
+_USER_RUNS = """
+with e as (select "user", round(tstamp * 1000)::bigint as t from interactions where "user" is not null and tstamp is not null and not isnan(tstamp)),
+m as (select *, case when t - lag(t) over (partition by "user" order by t) <= 3600000 then 0 else 1 end as fresh from e),
+s as (select *, sum(fresh) over (partition by "user" order by t, fresh desc rows unbounded preceding) as sid from m)
+select "user", min(t) / 1000.0::double as start_ts, max(t) / 1000.0::double as end_ts, round((max(t) - min(t)) / 1000.0::double, 3) as duration, count(*) as n_events from s group by "user", sid
+"""
+
 _CELLS = """
 select visitorid, regexp_replace(lower(event), '[^a-z0-9]', '', 'g') as event_type, count(*) as n, max(timestamp) as last_ts,
   (select max(timestamp) from visitor_events) - max(timestamp) as recency, round(sum(value), 2) as total
@@ -155,6 +167,7 @@ ORACLE = {
         , w as (select *, min(t) over x as start_ts, max(t) over x as end_ts, count(*) over x as n_events from s window x as (partition by visitorid, sid))
         select visitorid, start_ts, end_ts, end_ts - start_ts as duration, n_events, coalesce(event, '') as event, count(*) as n from w group by all
     """,
+    "p6_user_sessions": _USER_RUNS,
     "p7_found": f"select visitorid, event_type from ({_CELLS})",
     "p7_features": _CELLS,
 }
