@@ -12,7 +12,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tidemark.llm import chains as C
 from tidemark.llm import encoding as E
+from tidemark.llm import grams as G
 from tidemark.llm import mixing, packing, queries
 from tidemark.llm.cooccurrence import Null, cooccurring, poisson_binomial_tail
 from tidemark.llm.frequency import mark, term_frequencies
@@ -276,8 +278,8 @@ def clean_texts(folder="/root/testdata/sf0.01", least=0):
 def judged():
     texts = clean_texts("/root/testdata/sf0.1")
     train, held = texts[::2], texts[1::2][:600]
-    model = E.Model([(c, n.astype(np.float32)) for c, n in E.ngrams(train)])
-    return model, E.Judge(model, E.validated_margins(model, train[:1000])), held
+    model = G.Model(*G.count_grams(train, [E.fold(t) for t in train]))
+    return model, E.Judge(model, E.validated(model, train[:1000])), held
 
 
 def test_held_out_accuracy(judged):
@@ -299,7 +301,7 @@ def test_restores_round_trips(judged):
     ok = n = 0
     for t in held[:80]:
         for read in ("cp1252", "latin_1", "cp1251", "mac_roman"):
-            bad = E.from_bytes(t.encode("utf_8"), read)
+            bad = C.from_bytes(t.encode("utf_8"), read)
             found, _, restored = judge.judge(bad)
             if not E._HARD.search(bad):
                 n += 1
@@ -313,14 +315,64 @@ def test_hard_signs_and_clean_edges(judged, text, garbled):
 
 
 def test_codecs_invert():
-    for read in E._TABLES:
+    for read in C._TABLES:
         raw = bytes(range(256))
-        assert E.to_bytes(E.from_bytes(raw, read), read) == raw
+        assert C.to_bytes(C.from_bytes(raw, read), read) == raw
+
+
+def test_chains_on_arrays_equal_those_on_strings():
+    texts = ["für", "привет", "Ð¿Ñ€Ð¸Ð²ÐµÑ‚", "Êàê", "日本語の", "abcé", "ÏÐÈÂÅÒ", "x😀é", "ƒeƒXƒg‚·‚é日本éàx", "é", "\x00é"]
+    texts += [s for t in clean_texts()[:60] for s in E.stretches(t)]
+    got = [{} for _ in texts]
+    for n, which, flat in C.legacy_many(texts, C.Flat.of(texts)):
+        made = flat.points.tobytes().decode("utf_32_le", "surrogatepass")
+        for i, start, length in zip(which, flat.starts, flat.lengths):
+            got[i][n] = made[start + 2 : start + length - 1]
+    assert got == [{n: x for n, x in enumerate(C.legacy_texts(t)) if x is not None} for t in texts]
+
+
+def test_gram_counts_against_brute_force():
+    texts = ["ab  abc", "ab\tab9", "", "x" * 5]
+    want = [Counter() for _ in range(3)]
+    for t in texts:
+        seen = " " + " ".join(t.split()).replace("9", "0") + " " if t else " "
+        for n in (1, 2, 3):
+            want[n - 1].update(seen[i : i + n] for i in range(len(seen) - n + 1))
+    model = G.Model(*G.count_grams(texts, [0, 1, 2, 1]))
+    for n, counts in enumerate(want, 1):
+        for gram, many in counts.items():
+            code = 0
+            for c in gram:
+                code = (code << 21) | ord(c)
+            assert model.count(n, np.array([code]))[0, -1] == many
+    assert model.count(1, np.array([ord("x")]))[0].tolist() == [5.0, 0.0, *[5.0] * 7]
+
+
+def test_best_runs_against_the_loop():
+    rng = np.random.default_rng(5)
+    added = rng.normal(-0.5, 3, (400, 7))
+    starts = np.array([0, 3, 4, 250])
+    want = []
+    for a, b in zip(starts, [*starts[1:], 400]):
+        chain, first, last = E._likeliest_run(added[a:b])
+        want.append(added[a:b][first : last + 1, chain].sum())
+    assert np.allclose(E.best_runs(added, starts), want)
+
+
+@pytest.mark.parametrize("blanks", [10, 400])
+def test_all_lost_bytes_are_put_back(judged, blanks):
+    """However many there are, and however long the stretch."""
+    model, judge, _ = judged
+    raw = "größere".encode()
+    assert E.put_back(raw.replace(b"\x9f", b"").decode("latin_1").replace("Ã¶", "ö"), model, E.Gaps(model)) == "größere"
+    many = "-".join(["größere"] * blanks)
+    bad = C.from_bytes(bytes(b for b in many.encode() if b not in C.LOST_BYTES), "latin_1")
+    assert len(bad) > blanks * 8 and judge.judge(bad)[0]
 
 
 def test_find_garbled_over_a_table(spark):
     texts = clean_texts()[:150]
-    bad = [E.from_bytes(t.encode(), "cp1252") for t in texts[:30]]
+    bad = [C.from_bytes(t.encode(), "cp1252") for t in texts[:30]]
     rows = [(i, t, "x") for i, t in enumerate([*bad, *texts[30:], None, "", "é" * 50_000])]
     out = {r["doc_id"]: r for r in E.find_garbled(spark.createDataFrame(rows, "doc_id long, text string, garbled string"), "doc_id", "text", sample=60).collect()}
     assert len(out) == len(rows) and sum(out[i]["garbled"] for i in range(30)) >= 29
@@ -335,7 +387,7 @@ def kana_texts():
 def test_no_record_vouches_for_itself(spark):
     """A legacy chain that garbles a whole record and its copies: the record taught the model its own characters."""
     written, *texts = [t for t in kana_texts() if 20 < len(t) < 200]
-    bad = E.from_bytes(written.encode("euc_jp", "ignore"), "latin_1")
+    bad = C.from_bytes(written.encode("euc_jp", "ignore"), "latin_1")
     assert not E._HARD.search(bad)
     out = {r["doc_id"]: r for r in E.find_garbled(spark.createDataFrame(list(enumerate([bad, bad, bad, *texts])), "doc_id long, text string"), "doc_id", "text", sample=60).collect()}
     assert all(out[i]["garbled"] and out[i]["restored"] == written.encode("euc_jp", "ignore").decode("euc_jp") for i in range(3))
@@ -346,9 +398,9 @@ def test_no_record_vouches_for_itself(spark):
 def test_part_of_a_stretch(judged, written):
     """Half of a sentence without blanks is garbled; the clean half is in no single-byte encoding."""
     left, right = "映像がとても良かったです。", "説明書は日本語でした。"
-    bad = E.from_bytes(left.encode(written), "latin_1")
-    assert E.to_bytes(bad + right, "latin_1") is None
-    candidates = [o for o, _ in E.utf8_candidates(bad + right)] if written == "utf_8" else E.legacy_texts(bad + right)
+    bad = C.from_bytes(left.encode(written), "latin_1")
+    assert C.to_bytes(bad + right, "latin_1") is None
+    candidates = [o for o, _ in C.utf8_candidates(bad + right)] if written == "utf_8" else C.legacy_texts(bad + right)
     assert left + right in candidates
     if not E._HARD.search(bad):
         found, _, restored = judged[1].judge(bad + right)
