@@ -359,6 +359,19 @@ def test_best_runs_against_the_loop():
     assert np.allclose(E.best_runs(added, starts), want)
 
 
+def test_one_gap_by_list_equals_search(judged):
+    model = judged[0]
+    gaps = E.Gaps(model)
+    bad = [C.from_bytes(bytes(b for b in w.encode() if b not in C.LOST_BYTES), "latin_1") for t in clean_texts()[:200] for w in E.stretches(t) if len(w) < 20]
+    once = [(t, found) for t in dict.fromkeys(bad) if (found := E.put_back_once(t, gaps))]
+    assert len(once) > 50
+    got = E.likeliest_lost([t for t, _ in once], model)
+    for n, (t, found) in enumerate(once):
+        score = dict(zip(found, model.score(C.Flat.of(found), as_small=False)[0][:, -1]))
+        best = max(score.values()) - 1e-3
+        assert score[got[n]] >= best and score[E.put_back(t, model, gaps)] >= best, (t, got[n], E.put_back(t, model, gaps))
+
+
 @pytest.mark.parametrize("blanks", [10, 400])
 def test_all_lost_bytes_are_put_back(judged, blanks):
     """However many there are, and however long the stretch."""
