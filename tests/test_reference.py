@@ -166,6 +166,10 @@ def test_splits(spark):
     assert {r["user"]: r["count"] for r in train.groupBy("user").count().collect()} == {1: 2, 2: 4, 3: 6}
     assert splits.random(df, 0.3, 1)[1].subtract(splits.random(df, 0.3, 1)[1]).count() == 0
     assert splits.n_core(df, ["user", "item"], 12).count() == 12
+    many = spark.range(20_000).withColumnRenamed("id", "seq")
+    some = splits.sample(many, 0.1, 3)
+    assert 1800 < some.count() < 2200 and some.subtract(splits.sample(many.repartition(7), 0.1, 3)).count() == 0
+    assert splits.sample(many, 0.0).count() == 0 and splits.sample(many, 1.0).count() == 20_000
 
 
 def test_scalars(spark):

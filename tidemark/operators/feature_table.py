@@ -121,7 +121,7 @@ def feature_table(df: DataFrame, entity: str, event: str, time: str, value: str,
 
     `as_of` is the moment that recency counts from, by default the latest time of the table.
     """
-    types, known = _resolve(df, event, types)
+    types, known = _resolve(df.where(F.col(entity).isNotNull()), event, types)
     if not types:
         return df.where("false").select(entity)
     row = pivoted(df, entity, event, time, value, types, as_of, known)
@@ -130,7 +130,7 @@ def feature_table(df: DataFrame, entity: str, event: str, time: str, value: str,
 
 def feature_cells(df: DataFrame, entity: str, event: str, time: str, value: str, types: Sequence[str] | None = None, as_of: float | datetime | None = None) -> DataFrame:
     """(entity, event_type, n, last_ts, recency, total): the cells of the pivoted rows with a count above zero."""
-    types, known = _resolve(df, event, types)
+    types, known = _resolve(df.where(F.col(entity).isNotNull()), event, types)
     row = pivoted(df, entity, event, time, value, types or [""], as_of, known)
     cells = row.select(entity, F.posexplode("cells").alias("pos", "cell")).where("cell.n > 0")
     return cells.select(entity, F.get(F.lit(types or [""]), F.col("pos")).alias("event_type"), "cell.*")

@@ -21,6 +21,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 #: Characters that may separate. Hyphen, dot, underscore and apostrophe never do.
 CANDIDATES = ("|", ",", ";", "/", "\t", "\n", "｜", "；", "，", "、", " ")
 #: Whole fields or pieces that stand for no value.
@@ -126,6 +128,8 @@ def score_delimiters(df: DataFrame, field_name: str, candidates: Sequence[str] =
     whole = F.when(alone, F.array(row("whole", F.lit(""), kind(F.col("m"))))).otherwise(F.array().cast("array<struct<what:string,cand:string,key:string>>"))
     typed = F.flatten(F.transform("cands", lambda c: F.transform("pieces", lambda p: row("type", c, kind(p)))))
     rows = src.select("w", F.explode(F.concat(counts, whole, typed)).alias("r")).select("r.*", "w").groupBy("what", "cand", "key").agg(F.sum("w").alias("w"))
+    # three aggregates read the counted pieces: written once, they are made once
+    rows = materialize(rows, "pieces")
 
     # a type is known to a candidate if it stands alone somewhere, or between other delimiters, or is quoted
     seen = rows.where(F.col("what") != "n").groupBy("key").agg(F.max(F.col("what") == "whole").alias("whole"), F.collect_set(F.when((F.col("what") == "type") & (F.col("cand") != " "), F.col("cand"))).alias("by"))

@@ -41,6 +41,14 @@ def random(df: DataFrame, test_frac: float = 0.2, seed: int = 0) -> tuple[DataFr
     return placed.where(F.col("__r") >= cut).drop("__r"), placed.where(F.col("__r") < cut).drop("__r")
 
 
+def sample(df: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
+    """The rows whose hash of seq and seed falls into the fraction; the same rows however they are partitioned."""
+    if not 0 <= fraction <= 1:
+        raise ValueError("the fraction lies between 0 and 1")
+    parts = 1 << 32
+    return df.where(F.pmod(F.xxhash64(F.lit(seed), "seq"), F.lit(parts)) < int(fraction * parts))
+
+
 def n_core(df: DataFrame, columns: Sequence[str], min_count: int = 10) -> DataFrame:
     """Rows of which any listed column's value occurs at least min_count times; one pass, nulls don't count.
 

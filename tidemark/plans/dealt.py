@@ -97,11 +97,19 @@ def p7_wide(spark: SparkSession, folder: str) -> DataFrame:
     return feature_table(table(spark, folder, "visitor_events"), "visitorid", "event", "timestamp", "value")
 
 
+def p7_wide_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The feature table with each cell as text: count, latest time, recency and total in hundredths; null without events."""
+    wide = p7_wide(spark, folder)
+    cents = lambda c: F.coalesce(F.round(F.col(c)["total"] * 100).cast("long").cast("string"), F.lit(""))
+    text = lambda c: F.when(F.col(c)["n"] > 0, F.concat_ws(":", F.col(c)["n"], F.col(c)["last_ts"], F.col(c)["recency"], cents(c)))
+    return wide.select("visitorid", *(text(c).alias(c) for c in wide.columns if c != "visitorid"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return feature_cells(table(spark, folder, "visitor_events"), "visitorid", "event", "timestamp", "value").select("visitorid", "event_type")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_values, p1_delimiters, p3_found, p3_profile, p4_found, p4_asof, p6_found, p6_sessions, p6_user_sessions, p7_found, p7_features, p7_wide)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_values, p1_delimiters, p3_found, p3_profile, p4_found, p4_asof, p6_found, p6_sessions, p6_user_sessions, p7_found, p7_features, p7_wide, p7_wide_text)}
 
 _RUNS = f"""
 with e as (select visitorid, timestamp as t, event from visitor_events where visitorid is not null and timestamp is not null),
@@ -170,4 +178,9 @@ ORACLE = {
     "p6_user_sessions": _USER_RUNS,
     "p7_found": f"select visitorid, event_type from ({_CELLS})",
     "p7_features": _CELLS,
+    "p7_wide_text": f"""
+        with w as (pivot (select visitorid, 'e_' || event_type as type, n || ':' || last_ts || ':' || recency || ':' || coalesce(round(total * 100)::bigint::varchar, '') as v from ({_CELLS}))
+          on type using first(v) group by visitorid)
+        select * from w
+    """,
 }

@@ -402,11 +402,24 @@ def asof_property(spark, d):
     return merge_asof(left, right, ["view"]).select("payload.event_id", F.col("at0.val").alias("view_id"))
 
 
-@query()
+#: An event with the last property row of its item, in order of time and seq, and parts of its time.
+_SHOP = """
+with p as (select itemid, timestamp, arg_max(property, seq) as property, arg_max(coalesce(value, chr(0)), seq) as v from item_properties_part1 where itemid is not null and timestamp is not null group by 1, 2),
+j as (select e.*, p.property, nullif(p.v, chr(0)) as held, make_timestamp(e.timestamp * 1000) as moment from visitor_events e asof left join p on e.itemid = p.itemid and e.timestamp >= p.timestamp),
+c as (select *, case when property = 'available' then held end as available, case when property = 'categoryid' then held end as categoryid,
+  case when property is null or held is null or property in ('available', 'categoryid') then ''
+    else array_to_string(list_transform(list_filter(regexp_split_to_array(trim(held, ' '), '\\s+'), lambda t: t <> '' and not starts_with(t, 'n')), lambda t: property || '#' || t), ' ') end as tags from j)
+select seq, visitorid as "user", itemid as item, timestamp / 1000.0::double as tstamp, case event when 'view' then 1.0::double when 'addtocart' then 3.0 when 'transaction' then 5.0 end as rating,
+  property, available, c.categoryid, t.parentid, tags, (isodow(moment) - 1)::int as day_of_week, hour(moment)::int as hour,
+  case when hour(moment) < 4 then 'midnight' when hour(moment) < 8 then 'early morning' when hour(moment) < 12 then 'morning' when hour(moment) < 14 then 'noon' when hour(moment) < 17 then 'afternoon' when hour(moment) < 20 then 'evening' else 'night' end as time_of_day
+from c left join category_tree t on c.categoryid = t.categoryid
+"""
+
+
+@query(_SHOP)
 def shop_table(spark, d):
     """Events with the last property of their item, category, tags and parts of time."""
-    props = table(spark, d, "item_properties_part1").drop("seq")
-    out = shop_events(table(spark, d, "visitor_events"), props, table(spark, d, "category_tree"))
+    out = shop_events(table(spark, d, "visitor_events"), table(spark, d, "item_properties_part1"), table(spark, d, "category_tree"))
     return out.select("seq", "user", "item", "tstamp", "rating", "property", "available", "categoryid", "parentid", F.concat_ws(" ", "tags").alias("tags"), "day_of_week", "hour", "time_of_day")
 
 
@@ -451,6 +464,17 @@ def title_years(spark, d):
     return table(spark, d, "movies").where("title is not null").select("item", "title", F.coalesce(year.cast("string"), F.lit("")).alias("year"))
 
 
+@query(r"""
+with y as (select item, regexp_extract(title, '\((\d{4})\)\s*$', 1) as year, trim(regexp_replace(title, '\s*\(\d{4}\)\s*$', '')) as name from movies where title is not null)
+select item, case when regexp_matches(name, '^(.*), (The|A|An)$') then regexp_extract(name, '^(.*), (The|A|An)$', 2) || ' ' || regexp_extract(name, '^(.*), (The|A|An)$', 1) else name end as name,
+  try_cast(nullif(year, '') as int) as year from y
+""")
+def titles_turned(spark, d):
+    """The titles with the article in front and without the year."""
+    name, year = S.title_year(F.col("title"))
+    return table(spark, d, "movies").where("title is not null").select("item", name.alias("name"), year.alias("year"))
+
+
 @query("select item from movies where title ilike '%kettle%'")
 def title_search(spark, d):
     return table(spark, d, "movies").where(S.contains_text(F.col("title"), "KETTLE")).select("item")
@@ -463,6 +487,35 @@ def property_tags(spark, d):
     return p.select("seq", F.size(S.property_tags(F.col("property"), F.col("value"))).cast("long").alias("n_tags"))
 
 
+@query("""with p as (select seq, property, regexp_split_to_array(trim(value, ' '), '\\s+') as parts from item_properties_part1 where value is not null and property not in ('available', 'categoryid'))
+  select seq, array_to_string(list_transform(list_filter(parts, lambda t: t <> '' and not starts_with(t, 'n')), lambda t: property || '#' || t), ' ') as tags from p""")
+def property_tag_values(spark, d):
+    """The tags of a property's value, in order."""
+    p = table(spark, d, "item_properties_part1").where("value is not null and property not in ('available', 'categoryid')")
+    return p.select("seq", F.concat_ws(" ", S.property_tags(F.col("property"), F.col("value"))).alias("tags"))
+
+
+@query(_IX + " select ix.seq, m.title, m.genres from ix join movies m using (item)")
+def ratings_of_known_titles(spark, d):
+    return _ix(spark, d).join(table(spark, d, "movies").select("item", "title", "genres"), "item").select("seq", "title", "genres")
+
+
+@query("""with g as (select distinct m.item, trim(x) as genre from (select item, unnest(string_split(genres, '|')) as x from movies) m where trim(x) <> ''),
+  u as (select distinct "user", genre from interactions join g using (item) where "user" is not null)
+  select "user", string_agg(genre, '|' order by genre) as genres, count(*) as n from u group by 1""")
+def genres_by_user(spark, d):
+    """Each user's set of genres, split at bars."""
+    g = table(spark, d, "movies").select("item", F.explode(F.split("genres", "\\|")).alias("x")).select("item", F.trim("x").alias("genre")).where("genre <> ''").distinct()
+    pairs = table(spark, d, "interactions").where("user is not null").select("user", "item").distinct().join(g, "item")
+    return pairs.groupBy("user").agg(F.array_sort(F.collect_set("genre")).alias("s")).select("user", F.concat_ws("|", "s").alias("genres"), F.size("s").cast("long").alias("n"))
+
+
+@query()
+def sampled_rows(spark, d):
+    """A tenth of the rows, drawn by a hash of their number."""
+    return splits.sample(_ix(spark, d), 0.1, seed=42).select("seq")
+
+
 @query(_IX + ' select ix.seq, m.title, m.genres from ix left join movies m using (item)')
 def ratings_with_titles(spark, d):
     return _ix(spark, d).join(table(spark, d, "movies").select("item", "title", "genres"), "item", "left").select("seq", "title", "genres")

@@ -125,9 +125,13 @@ def shop(spark: SparkSession, folder: str, standard: bool = True) -> DataFrame:
 
 
 def shop_events(events: DataFrame, props: DataFrame, categories: DataFrame, standard: bool = True) -> DataFrame:
-    """The last property row of the item before each event, whichever property it is, and what follows from it."""
-    latest = props.select("itemid", "timestamp", F.lit("any").alias("kind"), F.struct("property", "value").alias("pv"))
-    joined = asof_attributes(events, latest.withColumn("tie", F.xxhash64("pv.property", "pv.value")), "itemid", "timestamp", "timestamp", "tie", "kind", "pv", ["any"])
+    """The last property row of the item before each event, whichever property it is, and what follows from it.
+
+    Of several rows at one instant the one with the greatest seq counts, where props has a seq.
+    """
+    tie = F.col("seq") if "seq" in props.columns else F.xxhash64("property", "value")
+    latest = props.select("itemid", "timestamp", F.lit("any").alias("kind"), F.struct("property", "value").alias("pv"), tie.alias("tie"))
+    joined = asof_attributes(events, latest, "itemid", "timestamp", "timestamp", "tie", "kind", "pv", ["any"])
     at = F.timestamp_millis("timestamp")
     out = joined.select(
         *events.columns, F.col("any.property").alias("property"), F.when(F.col("any.property") == "available", F.col("any.value")).alias("available"),

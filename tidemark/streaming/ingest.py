@@ -63,7 +63,7 @@ class StateTable:
         if touched:
             state = ops.fold(good, self.config, self._read(now, touched), now["clock"])
             schema = ", ".join(f"{n} {t}" for n, t in state.dtypes)
-            state.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder.path}/state-{number}")
+            state.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder.path}/state-{number}")
             replaced = [f"state-{versions[str(b)]}/bucket={b}" for b in touched if str(b) in versions]
             versions |= {str(b): number for b in touched}
         tops = [x for x in (now["clock"], ops.clock(good)) if x is not None]
