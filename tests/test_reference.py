@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
 from tidemark.models import factors, linear
-from tidemark.models.solvers import elastic_net, elastic_net_sgd
+from tidemark.models.solvers import elastic_net, elastic_net_columns, elastic_net_sgd
 from tidemark.operators import interactions as ops
 from tidemark.operators import metrics, ranking, splits, tags
 from tidemark.operators.gram import gram, neighbours
@@ -211,6 +211,51 @@ def test_solver_meets_optimality_conditions(solve):
     assert np.all(slope[w == 0] <= alpha * l1 + 1e-3) and np.allclose(slope[w > 0], alpha * l1, atol=1e-3)
 
 
+def test_solver_on_columns_equals_solver_on_products():
+    rng = np.random.default_rng(2)
+    x = rng.random((30, 12)) * (rng.random((30, 12)) < 0.4)
+    for positive in (True, False):
+        g = x[:, 1:].T @ x[:, 1:]
+        want = elastic_net(g[None], (x[:, 1:].T @ x[:, 0])[None], 30, 0.01, 0.3, positive, 3000, tol=1e-12)[0]
+        columns = [(np.flatnonzero(c), c[c != 0]) for c in x.T]
+        got = elastic_net_columns(columns[1:], columns[0], 30, 0.01, 0.3, positive, 3000, tol=1e-12)
+        assert np.allclose(got, want, atol=1e-8) and got.any()
+
+
+@pytest.mark.parametrize("n, dense", [(None, 10**6), (None, 2), (4, 10**6)])
+def test_linear_by_shared_matrix_equals_tables(spark, monkeypatch, n, dense):
+    rng = np.random.default_rng(6)
+    data = [(int(u), f"i{i}", float(rng.normal(1, 2))) for u in range(40) for i in range(15) if rng.random() < 0.3] + [(None, "i1", 1.0), (3, None, 1.0), (99, "i77", None)]
+    x = spark.createDataFrame(data, "user long, item string, weight double")
+    config = linear.LinearConfig(alpha=0.01, neighbours=n, tol=1e-10, max_iter=2000)
+    weights = lambda df: {(r["src"], r["dst"]): r["weight"] for r in df.collect()}
+    want = weights(linear._fit_by_tables(x.dropna(), linear.LinearConfig(alpha=0.01, neighbours=n or 1000, tol=1e-10, max_iter=2000), 41, None))
+    monkeypatch.setattr(linear, "DENSE", dense)
+    got = weights(linear.fit(x, config, 41))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-7) for k in got)
+    some = spark.createDataFrame([("i1",), ("i3",), ("nowhere",)], "item string")
+    assert weights(linear.fit(x, config, 41, some)) == {k: v for k, v in got.items() if k[1] in ("i1", "i3")}
+    monkeypatch.setattr(linear, "SHARED_ENTRIES", 5)
+    if n is None:
+        with pytest.raises(ValueError):
+            linear.fit(x, config, 41)
+    else:
+        assert weights(linear.fit(x, config, 41)).keys() == got.keys()
+    assert linear.fit(x.where("false"), config).count() == 0
+
+
+@pytest.mark.parametrize("options", [{}, {"exclude_seen": False}, {"pad_zero": True}, {"pad_zero": True, "exclude_seen": False}, {"candidates": [2, 3, 77]}, {"candidates": [77]}])
+def test_recommend_by_shared_weights_equals_join(spark, rows, monkeypatch, options):
+    rng = np.random.default_rng(8)
+    x = spark.createDataFrame([(u, i, float(rng.integers(1, 6))) for u in range(12) for i in range(14) if rng.random() < 0.3] + [(5, 60, 2.0)], "user long, item long, weight double")
+    sim = spark.createDataFrame([(i, j, float(rng.integers(-2, 5))) for i in range(14) for j in range(14) if i != j and rng.random() < 0.2], "src long, dst long, weight double")
+    users = spark.createDataFrame([(u,) for u in (*range(9), 500)], "user long")
+    given = {**options, **({"candidates": spark.createDataFrame([(c,) for c in options["candidates"]], "item long")} if "candidates" in options else {})}
+    shared = rows(linear.recommend(x, sim, users, 5, **given).select("user", "item", "score", "rank"))
+    monkeypatch.setattr(linear, "SHARED_ENTRIES", 0)
+    assert rows(linear.recommend(x, sim, users, 5, **given).select("user", "item", "score", "rank")) == shared and shared
+
+
 NINE = [("u1", "i1", 5.0), ("u1", "i3", 4.0), ("u1", "i4", 5.0), ("u2", "i1", 4.0), ("u2", "i2", 3.0), ("u2", "i4", 4.0), ("u3", "i2", 4.0), ("u3", "i3", 2.0), ("u3", "i4", 1.0)]
 
 

@@ -1,4 +1,10 @@
-"""Sparse linear item-item model: an elastic net per target item on the Gram matrix."""
+"""Sparse linear item-item model: an elastic net per target item on the Gram matrix.
+
+Two ways give the same weights. A matrix of at most SHARED_ENTRIES entries is shared with every task by rows and by
+columns; tasks take targets, add up a target's products over its users, pick its neighbours and solve, and nothing is
+shuffled. Beyond that the Gram matrix is made as a table, every target becomes a row of (neighbour, neighbour,
+product) lists of at most neighbours^2 entries, and `neighbours` must be given, since without it that number has no bound.
+"""
 
 from __future__ import annotations
 
@@ -7,21 +13,29 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import ranking
 from ..operators.gram import both_orders, gram_half, neighbours
+from ..operators.ids import numbered
 from ..session import materialize
-from .solvers import elastic_net, elastic_net_sgd
+from .solvers import elastic_net, elastic_net_columns, elastic_net_sgd
 
 SOLVERS = {"cd": elastic_net, "sgd": elastic_net_sgd}
-BATCH = 64
+#: Targets solved at once, and the most numbers that their Gram matrices hold.
+BATCH, BATCH_NUMBERS = 256, 4_000_000
+#: Entries of a matrix that is shared with every task: 24 bytes each, by rows and by columns.
+SHARED_ENTRIES = 4_000_000
+#: Beyond so many neighbours a target is solved on the columns themselves instead of their products.
+DENSE = 1_500
 
 
 @dataclass(frozen=True)
 class LinearConfig:
-    """Of the solver. With `neighbours` only the items most alike a target explain it."""
+    """Of the solver. With `neighbours` only the items most alike a target explain it. The solvers draw nothing at
+    random, so there is no random state."""
 
     optim: str = "cd"
     alpha: float = 0.1
@@ -36,22 +50,134 @@ class LinearConfig:
         if self.optim not in SOLVERS:
             raise ValueError(f"unknown optimiser: {self.optim}")
 
+    def solve(self, gram: np.ndarray, target: np.ndarray, n: float) -> np.ndarray:
+        extra = {"eta0": self.eta0} if self.optim == "sgd" else {}
+        return SOLVERS[self.optim](gram, target, n, self.alpha, self.l1_ratio, self.positive_only, self.max_iter, tol=self.tol, **extra)
 
-def fit(x: DataFrame, config: LinearConfig = LinearConfig(), n_users: int | None = None, targets: DataFrame | None = None) -> DataFrame:
-    """(src, dst, weight) of non-zero weights. x: (user, item, weight); n_users: rows of the matrix, unused ids too.
 
-    Every target is a row of (neighbour, neighbour, product) lists of at most neighbours^2 entries; without
-    `neighbours` all items that share a user with the target explain it.
-    """
+def fit(x: DataFrame, config: LinearConfig = LinearConfig(), n_users: int | None = None, targets: DataFrame | None = None) -> DataFrame:
+    """(src, dst, weight) of non-zero weights. x: (user, item, weight); n_users: rows of the matrix, unused ids too."""
+    x = x.where("user is not null and item is not null and weight is not null").select("user", "item", F.col("weight").cast("double").alias("weight"))
     if n_users is None:
         top = x.agg(F.max("user")).first()[0]
         n_users = int(top) + 1 if isinstance(top, int) else x.select("user").distinct().count()
-    half = materialize(gram_half(x), "gram")
-    g = both_orders(half)
-    if config.neighbours:
-        near = neighbours(g, config.neighbours)
+    some = x.limit(SHARED_ENTRIES + 1)
+    if some.count() <= SHARED_ENTRIES:
+        return _fit_shared(x, config, n_users, targets)
+    if not config.neighbours:
+        raise ValueError(f"a matrix of more than {SHARED_ENTRIES} entries needs a number of neighbours")
+    return _fit_by_tables(x, config, n_users, targets)
+
+
+class Matrix:
+    """A sparse matrix by columns and by rows."""
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, value: np.ndarray, rows: int, columns: int):
+        def order(major: np.ndarray, minor: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            at = np.lexsort((minor, major))
+            return np.append(0, np.cumsum(np.bincount(major, minlength=size))), minor[at].astype(np.int32), value[at]
+
+        self.columns, self.n_columns = order(column, row, columns), columns
+        self.rows = order(row, column, rows)
+
+    def column(self, j: int) -> tuple[np.ndarray, np.ndarray]:
+        start, index, value = self.columns
+        return index[start[j] : start[j + 1]], value[start[j] : start[j + 1]]
+
+    def products(self, j: int) -> tuple[np.ndarray, np.ndarray]:
+        """(items, products) of column j with all columns that share a row with it, in order."""
+        rows, weight = self.column(j)
+        start, index, value = self.rows
+        length = start[rows + 1] - start[rows]
+        at = np.repeat(start[rows] - np.append(0, np.cumsum(length)[:-1]), length) + np.arange(length.sum())
+        item, part = index[at], value[at] * np.repeat(weight, length)
+        if len(item) * 4 > self.n_columns:
+            sums, met = np.bincount(item, part, self.n_columns), np.bincount(item, minlength=self.n_columns) > 0
+            found = np.flatnonzero(met)
+            return found, sums[found]
+        found, back = np.unique(item, return_inverse=True)
+        return found, np.bincount(back, part)
+
+    def gram(self, chosen: np.ndarray) -> np.ndarray:
+        """The products among the chosen columns."""
+        start, index, value = self.columns
+        length = start[chosen + 1] - start[chosen]
+        at = np.repeat(start[chosen] - np.append(0, np.cumsum(length)[:-1]), length) + np.arange(length.sum())
+        users, place = np.unique(index[at], return_inverse=True)
+        dense = np.zeros((len(users), len(chosen)))
+        dense[place, np.repeat(np.arange(len(chosen)), length)] = value[at]
+        return dense.T @ dense
+
+
+def nearest(item: np.ndarray, product: np.ndarray, j: int, n: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """The n items with the largest products, j itself aside; ties to the smaller item."""
+    other = item != j
+    item, product = item[other], product[other]
+    if n is not None and len(item) > n:
+        least = np.partition(product, -n)[-n]
+        keep = np.flatnonzero(product >= least)
+        keep = np.sort(keep[np.lexsort((item[keep], -product[keep]))[:n]])
+        item, product = item[keep], product[keep]
+    return item, product
+
+
+def _fit_shared(x: DataFrame, config: LinearConfig, n_users: int, targets: DataFrame | None) -> DataFrame:
+    spark, kind = x.sparkSession, dict(x.dtypes)["item"]
+    held = x.toArrow()
+    users, items = (held.column(c).combine_chunks().dictionary_encode() for c in ("user", "item"))
+    order = pa.compute.sort_indices(items.dictionary)
+    names = items.dictionary.take(order)
+    place = np.empty(len(names), np.int64)
+    place[order.to_numpy()] = np.arange(len(names))
+    column = place[items.indices.to_numpy()]
+    matrix = Matrix(users.indices.to_numpy().astype(np.int64), column, held.column("weight").to_numpy(), len(users.dictionary), len(names))
+    if targets is None:
+        wanted = np.arange(len(names))
     else:
-        near = neighbours(g, 1 << 30)
+        # of the targets asked, those that the matrix knows: no more than it has items
+        asked = targets.select("item").distinct().join(x.select("item").distinct(), "item", "left_semi").toArrow().column("item").combine_chunks()
+        wanted = np.sort(pa.compute.index_in(asked, names).to_numpy(zero_copy_only=False).astype(np.int64))
+    shared = spark.sparkContext.broadcast((matrix, names, wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix, names, wanted = shared.value
+        for b in batches:
+            jobs = []
+            for j in wanted[b.column("id").to_numpy()].tolist():
+                item, product = nearest(*matrix.products(j), j, config.neighbours)
+                if len(item) > DENSE:
+                    yield _weights(names, item, np.full(len(item), j), elastic_net_columns([matrix.column(i) for i in item.tolist()], matrix.column(j), n_users, config.alpha, config.l1_ratio, config.positive_only, config.max_iter, config.tol))
+                elif len(item):
+                    jobs.append((j, item, product))
+            # targets of like size are solved together
+            jobs.sort(key=lambda job: len(job[1]))
+            at = 0
+            while at < len(jobs):
+                upto = at + 1
+                while upto < len(jobs) and upto - at < BATCH and (upto + 1 - at) * len(jobs[upto][1]) ** 2 <= BATCH_NUMBERS:
+                    upto += 1
+                size = len(jobs[upto - 1][1])
+                a, y = np.zeros((upto - at, size, size)), np.zeros((upto - at, size))
+                for r, (_, item, product) in enumerate(jobs[at:upto]):
+                    a[r, : len(item), : len(item)] = matrix.gram(item)
+                    y[r, : len(item)] = product
+                w = config.solve(a, y, n_users)
+                real = np.concatenate([w[r, : len(item)] for r, (_, item, _) in enumerate(jobs[at:upto])])
+                yield _weights(names, np.concatenate([item for _, item, _ in jobs[at:upto]]), np.repeat([j for j, *_ in jobs[at:upto]], [len(item) for _, item, _ in jobs[at:upto]]), real)
+                at = upto
+
+    tasks = max(1, min(len(wanted), 4 * spark.sparkContext.defaultParallelism))
+    return spark.range(0, len(wanted), 1, tasks).mapInArrow(run, f"src {kind}, dst {kind}, weight double")
+
+
+def _weights(names: pa.Array, src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
+    kept = np.flatnonzero(weight)
+    return pa.RecordBatch.from_arrays([names.take(pa.array(src[kept])), names.take(pa.array(dst[kept])), pa.array(weight[kept])], names=["src", "dst", "weight"])
+
+
+def _fit_by_tables(x: DataFrame, config: LinearConfig, n_users: int, targets: DataFrame | None) -> DataFrame:
+    half = materialize(gram_half(x), "gram")
+    near = neighbours(both_orders(half), config.neighbours)
     if targets is not None:
         near = near.join(targets.select(F.col("item").alias("dst")).distinct(), "dst", "left_semi")
     # the products among the neighbours of each target: at most neighbours^2 pairs, each looked up in the half matrix
@@ -60,8 +186,6 @@ def fit(x: DataFrame, config: LinearConfig = LinearConfig(), n_users: int | None
     pairs = left.join(right, "dst").where("ra <= rb").select("dst", "ra", "rb", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"))
     inner = pairs.join(half, ["i", "j"]).groupBy("dst").agg(F.collect_list(F.struct("ra", "rb", "g")).alias("inner"))
     outer = near.groupBy("dst").agg(F.array_sort(F.collect_list(F.struct("rank", "src", "g"))).alias("outer"))
-    solve = SOLVERS[config.optim]
-    extra = {"eta0": config.eta0} if config.optim == "sgd" else {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -70,7 +194,7 @@ def fit(x: DataFrame, config: LinearConfig = LinearConfig(), n_users: int | None
             at = 0
             while at < b.num_rows:
                 # as many problems at once as a few million numbers allow
-                much = max(1, min(BATCH, 2_000_000 // int(n[at : at + BATCH].max()) ** 2))
+                much = max(1, min(BATCH, BATCH_NUMBERS // int(n[at : at + BATCH].max()) ** 2))
                 take = slice(at, at + much)
                 size = int(n[take].max())
                 o, e = own.slice(at, much).flatten(), among.slice(at, much).flatten()
@@ -81,7 +205,7 @@ def fit(x: DataFrame, config: LinearConfig = LinearConfig(), n_users: int | None
                 ra, rb, value = (e.field(c).to_numpy() for c in ("ra", "rb", "g"))
                 a[re, ra - 1, rb - 1] = value
                 a[re, rb - 1, ra - 1] = value
-                w = solve(a, y, n_users, config.alpha, config.l1_ratio, config.positive_only, config.max_iter, tol=config.tol, **extra)[ro, place]
+                w = config.solve(a, y, n_users)[ro, place]
                 kept = np.flatnonzero(w)
                 yield pa.RecordBatch.from_arrays([o.field("src").take(pa.array(kept)), b.column("dst").slice(at, much).take(pa.array(ro[kept])), pa.array(w[kept])], names=["src", "dst", "weight"])
                 at += much
@@ -107,8 +231,12 @@ def scores(x: DataFrame, sim: DataFrame, users: DataFrame | None = None) -> Data
 def recommend(x: DataFrame, sim: DataFrame, users: DataFrame, k: int, candidates: DataFrame | None = None, exclude_seen: bool = True, pad_zero: bool = False) -> DataFrame:
     """(user, item, score, rank). Given candidates, seen items stay in. With pad_zero items without a score count as 0.
 
+    Weights of at most SHARED_ENTRIES entries are shared with every task, which then scores, leaves out and ranks the
+    items of its users on its own; beyond that the product is a join, whose hot items Spark's skew join divides.
     Padding needs only the first items that a user lacks: the k + m smallest items, m the user's scored and seen ones.
     """
+    if sim.limit(SHARED_ENTRIES + 1).count() <= SHARED_ENTRIES:
+        return _recommend_shared(x, sim, users, k, candidates, exclude_seen, pad_zero)
     out = scores(x, sim, users)
     if candidates is not None:
         known = x.select("item").distinct()
@@ -118,15 +246,83 @@ def recommend(x: DataFrame, sim: DataFrame, users: DataFrame, k: int, candidates
         out = ranking.exclude_seen(out, x)
     if pad_zero:
         asked = users.select("user").distinct()
-        used = x.select("user", "item").join(asked, "user", "left_semi").union(out.select("user", "item")).distinct()
-        most = used.groupBy("user").count().agg(F.max("count")).first()[0] or 0
-        first = x.select("item").distinct().orderBy("item").limit(k + most)
-        placed = first.select("item", F.row_number().over(Window.orderBy("item")).alias("place"))
-        blanks = asked.crossJoin(F.broadcast(placed)).join(used, ["user", "item"], "left_anti").select("user", "item", F.lit(0.0).alias("score"))
+        used = out.select("user", "item")
+        if exclude_seen:
+            used = used.union(x.select("user", "item").join(asked, "user", "left_semi")).distinct()
+        # the first item that a user lacks is at most as far on as the user has items: places up to the user's own number
+        places = numbered(x.select("item").distinct(), ["item"], "place")
+        need = asked.join(used.groupBy("user").agg(F.count(F.lit(1)).alias("m")), "user", "left").select("user", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("m", F.lit(0)) + F.lit(k - 1))).alias("place"))
+        blanks = need.join(places, "place").join(used, ["user", "item"], "left_anti").select("user", "item", F.lit(0.0).alias("score"))
         out = out.unionByName(blanks)
     return ranking.top_k(out, k)
 
 
+def _recommend_shared(x: DataFrame, sim: DataFrame, users: DataFrame, k: int, candidates: DataFrame | None, exclude_seen: bool, pad_zero: bool) -> DataFrame:
+    spark, kinds = x.sparkSession, dict(x.dtypes)
+    held = sim.toArrow()
+    columns = [held.column(c).combine_chunks() for c in ("src", "dst")]
+    usable = None
+    if candidates is not None:
+        # candidates that the matrix holds; without any, all items are usable
+        found = candidates.select("item").distinct().join(x.select("item").distinct(), "item", "left_semi")
+        usable = found.join(sim.select(F.col("dst").alias("item")).distinct(), "item", "left_semi").toArrow().column("item").combine_chunks()
+        usable = usable if len(usable) or not found.isEmpty() else None
+    pad = pad_zero and candidates is None
+    # an item without weights can only be a padding: the first ones in order, past the longest list of a user
+    extra = []
+    if pad:
+        most = x.groupBy("user").agg(F.count(F.lit(1)).alias("m")).agg(F.max("m")).first()[0] or 0
+        extra = [x.select("item").distinct().orderBy("item").limit(k + most + len(pa.compute.unique(columns[1]))).toArrow().column("item").combine_chunks()]
+    names = pa.compute.unique(pa.concat_arrays([*columns, *extra]))
+    names = names.take(pa.compute.sort_indices(names))
+    src, dst = (pa.compute.index_in(c, names).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+    matrix = Matrix(src, dst, held.column("weight").to_numpy(), len(names), len(names))
+    allowed = np.ones(len(names), bool) if usable is None else pa.compute.is_in(names, usable).to_numpy(zero_copy_only=False)
+    paddings = np.sort(pa.compute.index_in(extra[0], names).to_numpy(zero_copy_only=False)) if pad else np.zeros(0, np.int64)
+    shared = spark.sparkContext.broadcast((matrix.rows, names, allowed, paddings))
+    leave_out = exclude_seen and candidates is None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (start, index, weight), names, allowed, paddings = shared.value
+        for b in batches:
+            own = b.column("own")
+            bounds = np.append(0, np.cumsum(own.value_lengths().to_numpy()))
+            flat = own.flatten()
+            code = pa.compute.fill_null(pa.compute.index_in(flat.field("item"), names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            value = flat.field("w").to_numpy(zero_copy_only=False)
+            user, found, score, rank = [], [], [], []
+            for r in range(b.num_rows):
+                mine, w = code[bounds[r] : bounds[r + 1]], value[bounds[r] : bounds[r + 1]]
+                known = mine >= 0
+                mine, w = mine[known], w[known]
+                length = start[mine + 1] - start[mine]
+                at = np.repeat(start[mine] - np.append(0, np.cumsum(length)[:-1]), length) + np.arange(length.sum())
+                item, back = np.unique(index[at], return_inverse=True)
+                s = np.bincount(back, weight[at] * np.repeat(w, length), len(item))
+                if len(paddings):
+                    # as many as could be needed if all of the user's items and scored ones stood first
+                    more = np.setdiff1d(paddings[: k + len(item) + len(mine)], item, assume_unique=True)
+                    item, s = np.append(item, more), np.append(s, np.zeros(len(more)))
+                keep = allowed[item]
+                if leave_out:
+                    keep &= ~np.isin(item, mine)
+                item, s = item[keep], s[keep]
+                if len(item) > k:
+                    near = np.flatnonzero(s >= np.partition(s, -k)[-k])
+                    item, s = item[near], s[near]
+                order = np.lexsort((item, -s))[:k]
+                user.append(np.full(len(order), r))
+                found.append(item[order])
+                score.append(s[order])
+                rank.append(np.arange(1, len(order) + 1, dtype=np.int32))
+            if user:
+                yield pa.RecordBatch.from_arrays([b.column("user").take(pa.array(np.concatenate(user))), names.take(pa.array(np.concatenate(found))), pa.array(np.concatenate(score)), pa.array(np.concatenate(rank))], names=["user", "item", "score", "rank"])
+
+    rows = x.select("user", F.struct("item", F.col("weight").cast("double").alias("w")).alias("e")).join(users.select("user").distinct(), "user", "left_semi" if not pad else "right")
+    lists = rows.groupBy("user").agg(F.collect_list("e").alias("own"))
+    return lists.select("user", "own").mapInArrow(run, f"user {kinds['user']}, item {kinds['item']}, score double, rank int")
+
+
 def similar_items(sim: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """(query, item, score, rank): the sources with the largest weights in each query's column; unknown items have none."""
     asked = sim.join(items.select(F.col("item").alias("dst")).distinct(), "dst", "left_semi").where("src <> dst and weight <> 0")

@@ -9,13 +9,13 @@ from __future__ import annotations
 import time
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import interactions as ops
 from ..operators import metrics, ranking
 from ..operators.tags import cold_features, entity_features, put
-from ..session import discard, materialize
+from ..session import discard, materialize, materialize_all
 from . import factors, linear, store
 
 KINDS = ("linear", "factors", "hybrid")
@@ -82,13 +82,17 @@ class Recommender:
             pop = self.pop.unionByName(pop).groupBy("item").agg(F.sum("freq").alias("freq"), F.max("last_seq").alias("last_seq"))
         touched, users = good.select("item").distinct(), good.select("user").distinct()
         before = (self.state, self.contacts, self.pop, self.touched, self.touched_users)
-        self.touched = materialize(touched if self.touched is None else self.touched.union(touched).distinct(), "touched")
-        self.touched_users = materialize(users if self.touched_users is None else self.touched_users.union(users).distinct(), "touched")
-        self.state, self.contacts, self.pop = (materialize(t, n) for t, n in ((state, "state"), (contacts, "contacts"), (pop, "popularity")))
-        now = ops.clock(good)
+        self.state, self.contacts, self.pop, self.touched, self.touched_users, tops = materialize_all({
+            "state": state, "contacts": contacts, "popularity": pop,
+            "touched-items": touched if self.touched is None else self.touched.union(touched).distinct(),
+            "touched-users": users if self.touched_users is None else self.touched_users.union(users).distinct(),
+            "tops": good.agg(F.max("tstamp").alias("t"), F.max("seq").alias("n")),
+        })
+        top = tops.first()
+        now = None if top["t"] is None else float(top["t"]) + 1.0
         self.clock = max((x for x in (now, self.clock) if x is not None), default=None)
-        self.last_arrival = max(self.last_arrival, ops.last_arrival(good))
-        discard(good, *self._outdated)
+        self.last_arrival = max(self.last_arrival, -1 if top["n"] is None else int(top["n"]))
+        discard(good, tops, *self._outdated)
         self._outdated = before
 
     @property
@@ -106,8 +110,9 @@ class Recommender:
         self.register_tags(user_tags, item_tags)
         n = 0
         if df is not None:
-            n = df.count()
-            self.add(df, seq)
+            counted = Observation()
+            self.add(df.observe(counted, F.count(F.lit(1)).alias("n")), seq)
+            n = counted.get["n"]
         self._fit(None)
         self.samples_per_second = n / max(time.time() - began, 1e-9)
 
@@ -122,7 +127,9 @@ class Recommender:
         x = self.matrix
         if self.settings.kind in ("linear", "hybrid"):
             sim = linear.fit(x, self.settings.linear) if touched is None else linear.refit(self.sim, x, touched, self.settings.linear)
-            self.sim = materialize(sim, "similarity")
+            fresh = materialize(sim, "similarity")
+            self._outdated += (self.sim,)
+            self.sim = fresh
         if self.settings.kind in ("factors", "hybrid"):
             self.params = factors.fit(x, self._features("user"), self._features("item"), self.settings.factors, self.params)
         self._outdated += (self.touched, self.touched_users)

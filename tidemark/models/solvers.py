@@ -50,6 +50,37 @@ def elastic_net_sgd(gram: np.ndarray, target: np.ndarray, n: float, alpha: float
     return w
 
 
+def elastic_net_columns(columns: list[tuple[np.ndarray, np.ndarray]], target: tuple[np.ndarray, np.ndarray], n: float, alpha: float, l1_ratio: float, positive: bool = True, max_iter: int = 100, tol: float = 1e-4) -> np.ndarray:
+    """Weights of one problem, the same objective as elastic_net, on sparse columns (rows, values) instead of products.
+
+    Sweeps go over all columns until nothing new becomes active, and in between over the active ones alone.
+    """
+    w = np.zeros(len(columns))
+    rest = np.zeros(1 + max([int(c[0].max(initial=-1)) for c in columns] + [int(target[0].max(initial=-1))]))
+    rest[target[0]] = target[1]
+    diagonal = np.array([v @ v for _, v in columns])
+    l1, l2 = n * alpha * l1_ratio, n * alpha * (1 - l1_ratio)
+    every, active = np.flatnonzero(diagonal > 0), None
+    for _ in range(max_iter):
+        moved = 0.0
+        for i in (every if active is None else active).tolist():
+            rows, value = columns[i]
+            z = value @ rest[rows] + diagonal[i] * w[i]
+            fresh = max(z - l1, 0.0) if positive else np.sign(z) * max(abs(z) - l1, 0.0)
+            fresh /= diagonal[i] + l2
+            if fresh != w[i]:
+                rest[rows] -= (fresh - w[i]) * value
+                moved = max(moved, abs(fresh - w[i]))
+                w[i] = fresh
+        if moved <= tol * max(np.abs(w).max(initial=0), 1e-12):
+            if active is None:
+                break
+            active = None
+        else:
+            active = np.flatnonzero(w)
+    return w
+
+
 class Factors:
     """Embeddings and biases of features, trained by pairwise ranking with sampled negatives and Adagrad."""
 

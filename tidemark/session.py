@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,6 +71,12 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return out
 
 
+def materialize_all(tables: dict[str, DataFrame]) -> list[DataFrame]:
+    """materialize for several tables that don't depend on each other, at the same time."""
+    with ThreadPoolExecutor(len(tables)) as pool:
+        return list(pool.map(lambda t: materialize(t[1], t[0]), tables.items()))
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Remove the files of tables that `materialize` gave and that nothing will read again; others are left alone."""
     for t in tables:
