@@ -280,24 +280,40 @@ def test_disjoint_users_have_no_similar_items(spark):
     assert linear.similar_items(linear.fit(x, n_users=2), x.select("item"), 5).count() == 0
 
 
-def test_factors_learn_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("shards, schedule", [(1, "adagrad"), (3, "adagrad"), (1, "adadelta")])
+def test_factors_learn_blocks(spark, shards, schedule):
     data = [(u, i, 1.0) for u in range(20) for i in range(10) if (u < 10) == (i < 5) and (u + i) % 4]
     x = spark.createDataFrame(data, "user long, item long, weight double")
     users, items = (tags.entity_features(x.select(F.col(c).alias("entity")).distinct()) for c in ("user", "item"))
-    for one_task in (10**6, 0):
-        monkeypatch.setattr(factors, "ONE_TASK_ROWS", one_task)
-        params = factors.fit(x, users, items, factors.FactorConfig(dim=4, epochs=15, seed=1))
-        recs = factors.recommend(params, users, items, x, 2).collect()
-        seen = {(u, i) for u, i, _ in data}
-        assert all((r["user"], r["item"]) not in seen for r in recs)
-        top = [r for r in recs if r["rank"] == 1]
-        assert np.mean([(r["user"] < 10) == (r["item"] < 5) for r in top]) >= 0.8
-        alike = factors.similar_items(params, items, x.select("item"), 2).collect()
-        assert all(r["query"] != r["item"] and r["score"] <= 1.0001 for r in alike)
+    config = factors.FactorConfig(dim=4, epochs=15 * shards if schedule == "adagrad" else 60, seed=1, shards=shards, schedule=schedule)
+    params = factors.fit(x, users, items, config)
+    recs = factors.recommend(params, users, items, x, 2).collect()
+    seen = {(u, i) for u, i, _ in data}
+    assert all((r["user"], r["item"]) not in seen for r in recs)
+    top = [r for r in recs if r["rank"] == 1]
+    assert np.mean([(r["user"] < 10) == (r["item"] < 5) for r in top]) >= 0.8
+    alike = factors.similar_items(params, items, x.select("item"), 2).collect()
+    assert all(r["query"] != r["item"] and r["score"] <= 1.0001 for r in alike)
     with pytest.raises(ValueError):
         factors.FactorConfig(loss="warp-kos")
 
 
+def test_factors_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(4)
+    data = [(int(u), int(i), float(rng.integers(1, 5))) for u in range(30) for i in range(12) if rng.random() < 0.3 or u == 0] + [(None, 1, 1.0), (1, None, 1.0), (500, 1, 1.0)]
+    x = spark.createDataFrame(data, "user long, item long, weight double")
+    of = lambda n: tags.entity_features(spark.range(n).withColumnRenamed("id", "entity"))
+    config = factors.FactorConfig(dim=3, epochs=2, shards=4)
+    values = lambda df: sorted((r["side"], r["feature"], round(r["bias"], 4), *(round(v, 4) for v in r["vec"])) for r in df.collect())
+    first = values(factors.fit(x, of(30), of(12), config))
+    assert values(factors.fit(x.repartition(7, "item"), of(30).repartition(3), of(12), config)) == first and len(first) == 42
+    assert len(values(factors.fit(x.where("false"), of(30), of(12), config))) == 42
+    # what an increment doesn't touch stays as it is
+    start = factors.fit(x, of(30), of(12), config)
+    after = {r[:2]: r for r in values(factors.fit(x.where("user < 3"), of(3), of(12), config, start))}
+    assert len(after) == 42 and all(after[r[:2]] == r for r in values(start) if r[0] == "user" and int(r[1][3:]) >= 3)
+
+
 def test_top_by_product_blocks_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     t, q = rng.random((50, 4)), rng.random((5, 4))

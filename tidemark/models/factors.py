@@ -1,8 +1,16 @@
 """Factorization model with side features: each entity is the sum of its features' embeddings and biases.
 
-Training is stochastic pairwise ranking. Small data trains in one task; otherwise each epoch hands a share of the
-users to every task, which trains a copy of the parameters on them, and the copies are averaged by feature, weighted
-by how often a share used it. Parameters live on the driver during training: at most MAX_PARAMETERS numbers.
+Training is stochastic pairwise ranking, the same at every size: the pairs fall into `shards` by a hash of the user,
+in each epoch every shard trains a copy of the parameters on its pairs, and the copies are averaged by feature,
+weighted by how often each shard used it. The number of shards is a setting, so the result doesn't depend on how the
+data happens to be partitioned. A user of more than a quarter of a shard's even share is spread over all shards by
+item; his negatives are then checked against the items of his that the shard holds.
+
+A shard holds its pairs as three arrays, 20 bytes a pair. Parameters, at most MAX_PARAMETERS numbers, go to the
+shards in each epoch; every entity has a feature of its own, so the lists of features are bounded too.
+
+Defined results: pairs with a null part, or of an entity without features, aren't trained on; no pairs leave the
+parameters as they begin; features of `start` that don't occur are kept as they are.
 """
 
 from __future__ import annotations
@@ -11,21 +19,25 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import norm
 from ..operators import ranking
 from ..operators.ids import numbered
-from .solvers import train_pairs
+from ..session import materialize
+from .solvers import Factors, Steps, train_pairs
 
 MAX_PARAMETERS = 50_000_000
-ONE_TASK_ROWS = 200_000
 
 
 @dataclass(frozen=True)
 class FactorConfig:
+    """schedule: 'adagrad' by `rate`, or 'adadelta' by `rho` and `epsilon`. Loss 'warp-kos' isn't offered."""
+
     dim: int = 10
     loss: str = "warp"
     rate: float = 0.05
@@ -35,18 +47,33 @@ class FactorConfig:
     item_l2: float = 1e-7
     use_bias: bool = True
     seed: int = 0
+    schedule: str = "adagrad"
+    rho: float = 0.95
+    epsilon: float = 1e-6
+    shards: int = 8
 
     def __post_init__(self):
         if self.loss not in ("warp", "bpr", "logistic"):
             raise ValueError(f"unknown loss: {self.loss}")
+        if self.schedule not in ("adagrad", "adadelta"):
+            raise ValueError(f"unknown schedule: {self.schedule}")
 
 
-def _rows(features: DataFrame, vocab: DataFrame) -> dict:
-    """entity -> numbers of its features."""
-    out: dict = {}
-    for r in features.join(vocab, "feature").select("entity", "no").toLocalIterator():
-        out.setdefault(r["entity"], []).append(r["no"])
-    return {k: np.array(v, np.int64) for k, v in out.items()}
+class Side:
+    """The features of users or of items, as numbers: feature names, and the features of each entity."""
+
+    def __init__(self, features: DataFrame, dim: int):
+        vocabulary = numbered(features.select("feature").distinct(), ["feature"], "no")
+        count = vocabulary.count()
+        if count * (dim + 1) > MAX_PARAMETERS:
+            raise ValueError(f"{count} features exceed the size that the driver holds")
+        self.entities = materialize(numbered(features.select("entity").distinct(), ["entity"], "e"), "entities")
+        self.names = vocabulary.orderBy("no").toArrow().column("feature").to_pylist()
+        rows = features.select("entity", "feature").distinct().join(vocabulary, "feature").join(self.entities, "entity").select("e", "no").toArrow()
+        e, no = (rows.column(c).to_numpy() for c in ("e", "no"))
+        order = np.lexsort((no, e))
+        self.n = int(e.max(initial=-1)) + 1
+        self.start, self.features = np.append(0, np.cumsum(np.bincount(e, minlength=self.n))), no[order]
 
 
 def fit(x: DataFrame, user_features: DataFrame, item_features: DataFrame, config: FactorConfig = FactorConfig(), start: DataFrame | None = None) -> DataFrame:
@@ -55,77 +82,73 @@ def fit(x: DataFrame, user_features: DataFrame, item_features: DataFrame, config
     With `start`, known features go on from there and new ones begin afresh.
     """
     spark = x.sparkSession
-    vocabs, rows = [], []
-    for f in (user_features, item_features):
-        vocab = numbered(f.select("feature").distinct(), ["feature"], "no")
-        count = vocab.count()
-        if count * (config.dim + 1) > MAX_PARAMETERS:
-            raise ValueError(f"{count} features exceed the size that the driver holds")
-        vocabs.append({r["feature"]: r["no"] for r in vocab.collect()})
-        rows.append(_rows(f, vocab))
-    from .solvers import Factors
-
-    model = Factors(len(vocabs[0]), len(vocabs[1]), config.dim, config.seed)
-    p = model.arrays()
+    sides = [Side(f, config.dim) for f in (user_features, item_features)]
+    p = Factors(len(sides[0].names), len(sides[1].names), config.dim, config.seed).arrays()
+    kept = None
     if start is not None:
-        for r in start.toLocalIterator():
-            side = 0 if r["side"] == "user" else 1
-            at = vocabs[side].get(r["feature"])
-            if at is not None:
-                p[side][at], p[2 + side][at] = r["vec"], r["bias"]
-    users, items = ({e: n for n, e in enumerate(sorted(d))} for d in rows)
-    of_user, of_item = ([d[e] for e in sorted(d)] for d in rows)
-    data = x.where("user is not null and item is not null and weight is not null").select("user", "item", F.col("weight").cast("double").alias("weight"))
-    if data.count() <= ONE_TASK_ROWS:
-        found = sorted((users[r["user"]], items[r["item"]], r["weight"]) for r in data.collect() if r["user"] in users and r["item"] in items)
-        seen: list[set] = [set() for _ in users]
-        for u, i, _ in found:
-            seen[u].add(i)
-        g = [np.zeros_like(a) for a in p]
-        for epoch in range(config.epochs):
-            train_pairs(p, g, of_user, of_item, found, seen, config.loss, config.rate, config.max_sampled, config.user_l2, config.item_l2, config.seed + epoch)
-    else:
-        shards = data.repartition("user").persist()
-        g = [np.zeros_like(a) for a in p]
+        at = [{f: n for n, f in enumerate(s.names)} for s in sides]
+        held = start.toArrow()
+        known = np.zeros(held.num_rows, bool)
+        for r, (side, feature, bias, vec) in enumerate(zip(*(held.column(c).to_pylist() for c in ("side", "feature", "bias", "vec")))):
+            which = 0 if side == "user" else 1
+            n = at[which].get(feature)
+            if n is not None:
+                p[which][n], p[2 + which][n], known[r] = vec, bias, True
+        kept = held.filter(pa.array(~known))
+    users, items = (s.entities.select(F.col("entity").alias(c), F.col("e").alias(n)) for s, c, n in zip(sides, ("user", "item"), "ui"))
+    data = x.where("user is not null and item is not null and weight is not null").select("user", "item", F.col("weight").cast("double").alias("w"))
+    data = materialize(data.join(users, "user").join(items, "item").select("u", "i", "w"), "pairs")
+    sizes = data.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    # users of so many pairs number less than 4 times the shards
+    large = F.broadcast(sizes.where(F.col("n") > total / (4 * config.shards)).select("u", F.lit(True).alias("large")))
+    key = F.when(F.col("large"), F.xxhash64("u", "i")).otherwise(F.xxhash64("u"))
+    shards = materialize(data.join(large, "u", "left").select(F.pmod(key, F.lit(config.shards)).cast("int").alias("shard"), "u", "i", "w"), "shards")
+    steps = Steps(p, config.schedule, config.rate, config.rho, config.epsilon)
+    if total:
         for epoch in range(config.epochs):
-            shared = spark.sparkContext.broadcast((p, g, users, items, of_user, of_item))
-            p, g = _epoch(shards, shared, config, epoch, p, g)
+            shared = spark.sparkContext.broadcast((steps, [(s.start, s.features, s.n) for s in sides]))
+            _epoch(shards, shared, config, epoch, steps)
             shared.unpersist()
-        shards.unpersist()
+    p = steps.p
     if not config.use_bias:
         p[2][:], p[3][:] = 0, 0
-    out = [(side, feature, float(p[2 + s][n]), p[s][n].tolist()) for s, side in enumerate(("user", "item")) for feature, n in vocabs[s].items()]
-    return spark.createDataFrame(out, "side string, feature string, bias float, vec array<float>")
-
-
-def _epoch(shards: DataFrame, shared, config: FactorConfig, epoch: int, p: list[np.ndarray], g: list[np.ndarray]):
-    """Train a copy in every task and average the changed rows by feature."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, squares, users, items, of_user, of_item = shared.value
-        mine, more = [a.copy() for a in before], [a.copy() for a in squares]
-        found = [(users[u], items[i], w) for b in batches for u, i, w in zip(*(c.to_pylist() for c in b.columns)) if u in users and i in items]
-        if not found:
-            return
-        seen: dict[int, set] = {}
-        for u, i, _ in found:
-            seen.setdefault(u, set()).add(i)
-        train_pairs(mine, more, of_user, of_item, sorted(found), seen, config.loss, config.rate, config.max_sampled, config.user_l2, config.item_l2, config.seed + epoch)
-        for which in range(4):
-            changed = np.flatnonzero(np.atleast_2d((mine[which] != before[which]).T).any(axis=0))
-            for part in np.array_split(changed, -(-len(changed) // 5000)) if len(changed) else ():
-                vec = np.hstack([mine[which][part].reshape(len(part), -1), more[which][part].reshape(len(part), -1)]).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), which, np.int32)), pa.array(part.astype(np.int64)), pa.array(vec.tolist(), pa.list_(pa.float64()))], names=["which", "no", "vec"])
-
-    changed = shards.mapInArrow(run, "which int, no long, vec array<double>")
-    mean = changed.groupBy("which", "no").agg(F.count(F.lit(1)).alias("n"), F.array(*(F.avg(F.get("vec", F.lit(i))) for i in range(2 * config.dim))).alias("vec"))
-    p, g = [a.copy() for a in p], [a.copy() for a in g]
-    for r in mean.toLocalIterator():
-        which, no = r["which"], r["no"]
-        vec = np.array([v for v in r["vec"] if v is not None], np.float32)
-        half = len(vec) // 2
-        p[which][no], g[which][no] = (vec[:half], vec[half:]) if which < 2 else (vec[0], vec[1])
-    return p, g
+    made = [pa.table({
+        "side": pa.array([side] * len(s.names), pa.string()), "feature": pa.array(s.names, pa.string()), "bias": pa.array(p[2 + n], pa.float32()),
+        "vec": pa.FixedSizeListArray.from_arrays(pa.array(p[n].reshape(-1), pa.float32()), config.dim).cast(pa.list_(pa.float32())),
+    }) for n, (side, s) in enumerate(zip(("user", "item"), sides))]
+    if kept is not None:
+        made.append(kept.select(made[0].column_names).cast(made[0].schema))
+    return materialize(spark.createDataFrame(pa.concat_tables(made), "side string, feature string, bias float, vec array<float>"), "factors")
+
+
+def _epoch(shards: DataFrame, shared, config: FactorConfig, epoch: int, steps: Steps) -> None:
+    """Train a copy in every shard, and put the weighted means of what changed into steps."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        before, sides = shared.value
+        mine = before.copy()
+        rows = rows.sort_values(["u", "i", "w"])
+        train_pairs(mine, sides, rows["u"].to_numpy(), rows["i"].to_numpy(), rows["w"].to_numpy(), config.loss, config.max_sampled, config.user_l2, config.item_l2, config.seed + 1000 * epoch + int(key[0]))
+        out = []
+        for which, used in enumerate(mine.used):
+            changed = np.flatnonzero(used)
+            vec = np.hstack([a[which].reshape(len(used), -1)[changed] for a in mine.all()])
+            out.append(pd.DataFrame({"which": np.int32(which), "no": changed, "n": used[changed], "vec": list(vec)}))
+        return pd.concat(out)
+
+    changed = shards.groupBy("shard").applyInPandas(run, "which int, no long, n long, vec array<float>")
+    size = max(len(steps.all()) * config.dim, 1)
+    sums = [F.sum(F.get("vec", F.lit(i)).cast("double") * F.col("n")) / F.sum("n") for i in range(size)]
+    mean = changed.groupBy("which", "no").agg(F.array(*sums).alias("vec")).toArrow()
+    which, no = mean.column("which").to_numpy(), mean.column("no").to_numpy()
+    vec = mean.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(no), size) if len(no) else np.zeros((0, size))
+    for w in range(4):
+        at = which == w
+        width = config.dim if w < 2 else 1
+        for k, arrays in enumerate(steps.all()):
+            part = vec[at, k * width : (k + 1) * width].astype(np.float32)
+            arrays[w][no[at]] = part if w < 2 else part[:, 0]
 
 
 def representations(features: DataFrame, params: DataFrame, side: str) -> DataFrame:
@@ -140,42 +163,43 @@ def representations(features: DataFrame, params: DataFrame, side: str) -> DataFr
 def top_by_product(queries: DataFrame, targets: DataFrame, k: int, block: int = 4096, exclude: DataFrame | None = None) -> DataFrame:
     """(user, item, score, rank): the k targets with the largest bias + bias + dot product for each query.
 
-    Targets are cut into blocks of `block` vectors, each a row of the shared side; a query meets every block as one
-    matrix product and keeps k per block, so what leaves a task is k rows per query and block.
+    Queries and targets are packed into blocks of about `block` vectors, and every pair of blocks is one matrix
+    product that keeps k a query. What a query excludes is put into the target blocks it falls in, so each excluded
+    pair goes to one task alone.
     """
-    kind = dict(targets.dtypes)["entity"]
-    packed = targets.select(F.pmod(F.xxhash64("entity"), F.lit(max(1, -(-targets.count() // block)))).alias("b"), "entity", "bias", "vec")
-    blocks = packed.groupBy("b").agg(F.collect_list(F.struct("entity", "bias", "vec")).alias("t"))
+    kind, side = dict(targets.dtypes)["entity"], dict(queries.dtypes)["entity"]
+    n_q, n_t = (max(1, -(-df.count() // block)) for df in (queries, targets))
+    of_query = lambda c: F.pmod(F.xxhash64(c), F.lit(n_q)).cast("int")
+    of_target = lambda c: F.pmod(F.xxhash64(c), F.lit(n_t)).cast("int")
+    pack = lambda df, at, n: df.select(at.alias(n), F.struct("entity", F.col("bias").cast("double").alias("bias"), F.col("vec").cast("array<double>").alias("vec")).alias("v")).groupBy(n).agg(F.collect_list("v").alias(f"{n}s"))
+    # block by block: both sides are blocks of thousands of vectors, so this pairs few rows
+    pairs = pack(queries, of_query("entity"), "q").crossJoin(pack(targets, of_target("entity"), "t"))
     if exclude is not None:
-        seen = exclude.groupBy("user").agg(F.collect_set("item").alias("seen"))
-        queries = queries.join(seen.withColumnRenamed("user", "entity"), "entity", "left")
+        gone = exclude.select(F.col("user").alias("entity"), F.col("item").alias("other")).join(queries.select("entity"), "entity", "left_semi")
+        gone = gone.select(of_query("entity").alias("q"), of_target("other").alias("t"), F.struct("entity", "other").alias("g"))
+        pairs = pairs.join(gone.groupBy("q", "t").agg(F.collect_list("g").alias("gone")), ["q", "t"], "left")
     else:
-        queries = queries.withColumn("seen", F.lit(None).cast(f"array<{kind}>"))
-    side = dict(queries.dtypes)["entity"]
-    grouped = queries.select(F.pmod(F.xxhash64("entity"), F.lit(max(1, -(-queries.count() // block)))).alias("q"), F.struct("entity", "bias", "vec", "seen").alias("e")).groupBy("q").agg(F.collect_list("e").alias("e"))
-    pa_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+        pairs = pairs.withColumn("gone", F.lit(None).cast(f"array<struct<entity:{side},other:{kind}>>")).repartition("q", "t")
+
+    def matrix(c: pa.Array) -> np.ndarray:
+        return c.field("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for es, ts in zip(b.column("e").to_pylist(), b.column("t").to_pylist()):
-                names = np.array([t["entity"] for t in ts], object)
-                at = {n: i for i, n in enumerate(names)}
-                s = np.array([e["vec"] for e in es]) @ np.array([t["vec"] for t in ts]).T + np.array([t["bias"] for t in ts])[None, :] + np.array([e["bias"] for e in es])[:, None]
-                users, found, score = [], [], []
-                for r, e in enumerate(es):
-                    row = s[r]
-                    gone = [at[i] for i in e["seen"] or () if i in at]
-                    row[gone] = -np.inf
-                    cut = np.partition(row, -k)[-k] if len(row) > k else -np.inf
-                    for c in np.flatnonzero((row >= cut) & (row > -np.inf)):
-                        users.append(e["entity"])
-                        found.append(names[c])
-                        score.append(float(row[c]))
-                yield pa.RecordBatch.from_arrays([pa.array(users, pa_kind[side]), pa.array(found, pa_kind[kind]), pa.array(score)], names=["user", "item", "score"])
-
-    # block by block: both sides are blocks of thousands of vectors, so this pairs few rows
-    pairs = grouped.crossJoin(blocks).repartition(F.col("q"), F.col("b"))
-    return ranking.top_k(pairs.select("e", "t").mapInArrow(run, f"user {side}, item {kind}, score double"), k)
+            for r in range(b.num_rows):
+                qs, ts, gone = (b.column(c).slice(r, 1) for c in ("qs", "ts", "gone"))
+                qs, ts, gone = qs.flatten(), ts.flatten(), gone.flatten()
+                s = matrix(qs) @ matrix(ts).T + ts.field("bias").to_numpy()[None, :] + qs.field("bias").to_numpy()[:, None]
+                if len(gone):
+                    row = pa.compute.index_in(gone.field("entity"), qs.field("entity"))
+                    column = pa.compute.index_in(gone.field("other"), ts.field("entity"))
+                    met = pa.compute.and_(row.is_valid(), column.is_valid())
+                    s[row.filter(met).to_numpy(), column.filter(met).to_numpy()] = -np.inf
+                cut = np.partition(s, -k, axis=1)[:, -k][:, None] if s.shape[1] > k else -np.inf
+                q, t = np.nonzero((s >= cut) & (s > -np.inf))
+                yield pa.RecordBatch.from_arrays([qs.field("entity").take(pa.array(q)), ts.field("entity").take(pa.array(t)), pa.array(s[q, t])], names=["user", "item", "score"])
+
+    return ranking.top_k(pairs.select("qs", "ts", "gone").mapInArrow(run, f"user {side}, item {kind}, score double"), k)
 
 
 def recommend(params: DataFrame, user_features: DataFrame, item_features: DataFrame, x: DataFrame | None, k: int, candidates: DataFrame | None = None) -> DataFrame:

@@ -95,55 +95,89 @@ class Factors:
         return [self.user, self.item, self.user_bias, self.item_bias]
 
 
+class Steps:
+    """Parameters with what the step sizes are made of: sums of squares (adagrad), or running means (adadelta)."""
+
+    def __init__(self, p: list[np.ndarray], schedule: str = "adagrad", rate: float = 0.05, rho: float = 0.95, epsilon: float = 1e-6):
+        self.p, self.schedule, self.rate, self.rho, self.epsilon = p, schedule, rate, rho, epsilon
+        self.squares = [np.zeros_like(a) for a in p]
+        self.moves = [np.zeros_like(a) for a in p] if schedule == "adadelta" else None
+        self.used = [np.zeros(len(a), np.int64) for a in p]
+
+    def all(self) -> list[list[np.ndarray]]:
+        return [self.p, self.squares, *([self.moves] if self.moves is not None else [])]
+
+    def copy(self) -> Steps:
+        out = Steps([a.copy() for a in self.p], self.schedule, self.rate, self.rho, self.epsilon)
+        out.squares = [a.copy() for a in self.squares]
+        out.moves = None if self.moves is None else [a.copy() for a in self.moves]
+        return out
+
+    def take(self, which: int, rows: np.ndarray, grad: np.ndarray) -> None:
+        """One step against the gradient for the rows of one kind of parameters."""
+        self.used[which][rows] += 1
+        h = self.squares[which]
+        if self.moves is None:
+            h[rows] += grad * grad
+            self.p[which][rows] -= self.rate * grad / np.sqrt(h[rows] + 1e-6)
+            return
+        d = self.moves[which]
+        h[rows] = self.rho * h[rows] + (1 - self.rho) * grad * grad
+        move = np.sqrt(d[rows] + self.epsilon) / np.sqrt(h[rows] + self.epsilon) * grad
+        d[rows] = self.rho * d[rows] + (1 - self.rho) * move * move
+        self.p[which][rows] -= move
+
+
 def train_pairs(
-    p: list[np.ndarray], g: list[np.ndarray], users: list[np.ndarray], items: list[np.ndarray], positive: list[tuple[int, int, float]], seen: list[set], loss: str = "warp",
-    rate: float = 0.05, max_sampled: int = 10, user_l2: float = 1e-7, item_l2: float = 1e-7, seed: int = 0,
+    steps: Steps, sides: list[tuple[np.ndarray, np.ndarray, int]], user: np.ndarray, item: np.ndarray, weight: np.ndarray, loss: str = "warp",
+    max_sampled: int = 10, user_l2: float = 1e-7, item_l2: float = 1e-7, seed: int = 0,
 ) -> None:
-    """One epoch over `positive` (user row, item row, weight), in place. users and items: feature numbers of each row.
+    """One epoch over pairs, in place. sides: (starts, features, entities) of users and items; the pairs are sorted.
 
     warp: negatives are drawn until one outranks the positive; the step grows with the rank that this implies.
     bpr: one negative, logistic step. logistic: signs of the weights as labels.
     """
     rng = np.random.default_rng(seed)
-    n_items = len(items)
-    eu, ei, bu, bi = p
-    gu, gi, hu, hi = g
-
-    def step(e, h, rows, grad):
-        h[rows] += grad * grad
-        e[rows] -= rate * grad / np.sqrt(h[rows] + 1e-6)
-
-    for at in rng.permutation(len(positive)):
-        u, i, weight = positive[at]
-        fu, fi = users[u], items[i]
+    (u_start, u_features, _), (i_start, i_features, n_items) = sides
+    seen = user.astype(np.int64) * n_items + item
+    eu, ei, bu, bi = steps.p
+
+    def known(u: int, j: int) -> bool:
+        key = u * n_items + j
+        at = seen.searchsorted(key)
+        return at < len(seen) and seen[at] == key
+
+    for at in rng.permutation(len(user)).tolist():
+        u, i, w = int(user[at]), int(item[at]), float(weight[at])
+        fu, fi = u_features[u_start[u] : u_start[u + 1]], i_features[i_start[i] : i_start[i + 1]]
         vu, vi = eu[fu].sum(0), ei[fi].sum(0)
-        score = float(vu @ vi) + float(bi[fi].sum()) + float(bu[fu].sum())
+        base = float(bu[fu].sum())
+        score = float(vu @ vi) + float(bi[fi].sum()) + base
         if loss == "logistic":
-            push = (1 / (1 + np.exp(-score)) - (1.0 if weight > 0 else 0.0)) * abs(weight)
-            step(eu, gu, fu, push * vi + user_l2 * eu[fu])
-            step(ei, gi, fi, push * vu + item_l2 * ei[fi])
-            step(bi, hi, fi, np.full(len(fi), push, np.float32))
-            step(bu, hu, fu, np.full(len(fu), push, np.float32))
+            push = (1 / (1 + np.exp(-score)) - (1.0 if w > 0 else 0.0)) * abs(w)
+            steps.take(0, fu, push * vi + user_l2 * eu[fu])
+            steps.take(1, fi, push * vu + item_l2 * ei[fi])
+            steps.take(3, fi, np.full(len(fi), push, np.float32))
+            steps.take(2, fu, np.full(len(fu), push, np.float32))
             continue
-        if weight <= 0:
+        if w <= 0:
             continue
         for tries in range(1, (max_sampled if loss == "warp" else 1) + 1):
             j = int(rng.integers(n_items))
-            if j in seen[u]:
+            if known(u, j):
                 continue
-            fj = items[j]
+            fj = i_features[i_start[j] : i_start[j + 1]]
             vj = ei[fj].sum(0)
-            other = float(vu @ vj) + float(bi[fj].sum()) + float(bu[fu].sum())
+            other = float(vu @ vj) + float(bi[fj].sum()) + base
             if loss == "warp":
                 if other <= score - 1:
                     continue
-                push = weight * np.log(max(1.0, (n_items - 1) // tries))
-                push = min(push, 10.0)
+                push = min(w * np.log(max(1.0, (n_items - 1) // tries)), 10.0)
             else:
-                push = weight * (1 - 1 / (1 + np.exp(-(score - other))))
-            step(eu, gu, fu, push * (vj - vi) + user_l2 * eu[fu])
-            step(ei, gi, fi, -push * vu + item_l2 * ei[fi])
-            step(ei, gi, fj, push * vu + item_l2 * ei[fj])
-            step(bi, hi, fi, np.full(len(fi), -push, np.float32))
-            step(bi, hi, fj, np.full(len(fj), push, np.float32))
+                push = w * (1 - 1 / (1 + np.exp(-(score - other))))
+            steps.take(0, fu, push * (vj - vi) + user_l2 * eu[fu])
+            steps.take(1, fi, -push * vu + item_l2 * ei[fi])
+            steps.take(1, fj, push * vu + item_l2 * ei[fj])
+            steps.take(3, fi, np.full(len(fi), -push, np.float32))
+            steps.take(3, fj, np.full(len(fj), push, np.float32))
             break
