@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from tidemark import experiment
 from tidemark.cache import FrequencySet, SpillCache
 from tidemark.models.factors import FactorConfig
-from tidemark.models.recommender import Recommender, Settings
+from tidemark.models.recommender import NotFittedError, Recommender, Settings
 from tidemark.operators import interactions as ops
 from tidemark.serving import Service
 from tidemark.sources import datasets
@@ -24,8 +24,12 @@ SCHEMA = "user long, item long, tstamp double, rating double, seq long"
 @pytest.mark.parametrize("kind", ["linear", "factors", "hybrid"])
 def test_recommender_round_trip(spark, tmp_path, rows, kind):
     df = spark.createDataFrame(DATA, SCHEMA)
-    model = Recommender(spark, Settings(kind, factors=FactorConfig(dim=3, epochs=2)))
-    model.bulk_fit(df)
+    model = Recommender(spark, Settings(kind, factors=FactorConfig(dim=3, epochs=2, shards=2)))
+    with pytest.raises(NotFittedError):
+        model.recommend(df.select("user"), 3)
+    # the hybrid has two models to fuse where tags are known
+    tags = df.selectExpr("user as entity", "array(concat('g#', user % 2)) as tags").distinct() if kind == "hybrid" else None
+    model.bulk_fit(df, user_tags=tags)
     users = spark.createDataFrame([(0,), (1,), (99,)], "user long")
     recs = model.recommend(users, 3)
     seen = {(r[0], r[1]) for r in DATA}
@@ -41,6 +45,53 @@ def test_recommender_round_trip(spark, tmp_path, rows, kind):
     assert model.similar_items(spark.createDataFrame([(0,), (777,)], "item long"), 3).where("query = 777").count() == 0
 
 
+def test_batches_keep_positions_and_scores(spark):
+    model = Recommender(spark)
+    model.bulk_fit(spark.createDataFrame(DATA, SCHEMA))
+    asked = spark.createDataFrame([(0, 3), (1, 99), (2, 0), (3, 3)], "pos long, user long")
+    got = {r["pos"]: r for r in model.recommend_batch(asked, 2).collect()}
+    one = [(r["item"], r["score"]) for r in model.recommend(asked.where("user = 3"), 2).orderBy("rank").collect()]
+    assert [got[n]["user"] for n in range(4)] == [3, 99, 0, 3] and list(zip(got[0]["items"], got[0]["scores"])) == list(zip(got[3]["items"], got[3]["scores"])) == one
+    hot = [(r["item"], float(r["freq"])) for r in ops.hot_items(model.pop, 2).orderBy("rank").collect()]
+    assert list(zip(got[1]["items"], got[1]["scores"])) == hot
+
+
+def test_hybrid_without_tags_is_linear(spark, rows):
+    df = spark.createDataFrame(DATA, SCHEMA)
+    users = spark.createDataFrame([(0,), (1,), (5,)], "user long")
+    hybrid, alone = Recommender(spark, Settings("hybrid", factors=FactorConfig(dim=3, epochs=1, shards=1))), Recommender(spark)
+    hybrid.bulk_fit(df)
+    alone.bulk_fit(df)
+    assert rows(hybrid.recommend(users, 3)) == rows(alone.recommend(users, 3))
+    tagged = spark.createDataFrame([(0, ["a"]), (1, ["b"]), (2, ["a"])], "entity long, tags array<string>")
+    hybrid.register_tags(users=tagged)
+    hybrid.clear_tags(users=tagged.where("entity = 1"))
+    assert rows(hybrid.user_tags) == [(0, ["a"]), (2, ["a"])]
+    hybrid.bulk_fit()
+    plain, other = (rows(hybrid.recommend(users.where("user = 1"), 3, exclude_seen=False, user_tags=t).select("item", "score")) for t in (None, tagged.where("entity = 0").selectExpr("1L as entity", "tags")))
+    assert plain != other  # the tags given for a known user count
+    hybrid.clear_tags(users=True)
+    assert hybrid.user_tags is None
+
+
+def test_factor_increments_train_touched_pairs(spark):
+    model = Recommender(spark, Settings("factors", factors=FactorConfig(dim=3, epochs=1, shards=2)))
+    model.bulk_fit(spark.createDataFrame(DATA, SCHEMA))
+    value = lambda: {(r["side"], r["feature"]): (r["bias"], tuple(r["vec"])) for r in model.params.collect()}
+    before = value()
+    model.fit(spark.createDataFrame([(3, 1, 500.0, 2.0, 9999), (77, 2, 500.0, 2.0, 10000)], SCHEMA))
+    after = value()
+    assert ("user", "id:77") in after and all(after[k] == v for k, v in before.items() if k not in {("user", "id:3"), ("item", "id:1"), ("item", "id:2")})
+
+
+def test_fit_by_users_solves_their_items(spark):
+    model = Recommender(spark)
+    model.bulk_fit(spark.createDataFrame(DATA, SCHEMA))
+    want = {(r["src"], r["dst"]): round(r["weight"], 9) for r in model.sim.collect()}
+    model.fit_users(spark.createDataFrame([(3,)], "user long"))
+    assert {(r["src"], r["dst"]): round(r["weight"], 9) for r in model.sim.collect()} == want
+
+
 def test_increment_touches_only_its_items(spark):
     model = Recommender(spark)
     model.bulk_fit(spark.createDataFrame(DATA, SCHEMA))

@@ -15,7 +15,7 @@ from ..operators import interactions as ops
 from ..operators import metrics, ranking, splits, tags
 from ..operators.gram import gram, neighbours
 from ..operators.ids import decode, dictionary, encode, numbered
-from ..session import shared_dir
+from ..session import materialize, shared_dir
 from ..sources.datasets import shop_events
 from ..sources.tables import table
 from ..streaming.ingest import StateTable, start, stream_files
@@ -617,9 +617,47 @@ def similar_items_cosine(spark, d):
     return ranking.top_k(_round(found.drop("rank"), "score", digits=5), 5).select(F.col("user").alias("query"), "item", "score")
 
 
+#: The same on interactions, whose items grow with the data.
+_STATE_IX = _IX + """, st as (select "user", item, arg_max(rating, seq) as value, arg_max(tstamp, seq) as tstamp from ix group by 1, 2)"""
+_GRAM_IX = _STATE_IX + ', g as (select a.item as i, b.item as j, sum(a.value * b.value) as g from st a join st b on a."user" = b."user" group by 1, 2)'
+_NEAR_IX = _GRAM_IX + ", near as (select j as dst, i as src, g, row_number() over (partition by j order by round(g, 6) desc, i) as rank from g where i <> j qualify rank <= 10)"
+
+
+def _xi(spark, d) -> DataFrame:
+    return ops.upsert(_ix(spark, d)).select("user", "item", F.col("value").alias("weight"))
+
+
+def _near_ix(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Sums of products in different orders differ in their last digits: neighbours are ranked by six digits."""
+    x = _xi(spark, d)
+    return x, neighbours(_round(gram(x), "g", digits=6), 10)
+
+
+@query(_GRAM_IX + " select i, j, round(g, 3) as g from g")
+def gram_matrix_ix(spark, d):
+    return _round(gram(_xi(spark, d)), "g", digits=3)
+
+
+@query(_NEAR_IX + " select dst, src, round(g, 3) as g, rank from near")
+def gram_topn_ix(spark, d):
+    return _round(_near_ix(spark, d)[1], "g", digits=3)
+
+
+@query(_NEAR_IX + """, s as (select st."user", near.dst as item, sum(st.value * round(near.g, 6)) as score from st join near on st.item = near.src group by 1, 2),
+  r as (select *, row_number() over (partition by "user" order by round(score, 4) desc, item) as rank from s where not exists (select 1 from st where st."user" = s."user" and st.item = s.item))
+  select "user", item, round(score, 3) as score, rank from r where rank <= 10""")
+def cooc_recommend_ix(spark, d):
+    x, near = _near_ix(spark, d)
+    scored = ranking.exclude_seen(_round(linear.scores(x, near.select("src", "dst", F.col("g").alias("weight"))), "score"), x)
+    return _round(ranking.top_k(scored, K), "score", digits=3)
+
+
+SLIM = linear.LinearConfig(neighbours=20, max_iter=2000, tol=1e-9)
+
+
 def _linear(spark, d) -> tuple[DataFrame, DataFrame]:
-    x = _x(spark, d)
-    return x, linear.fit(x, linear.LinearConfig(neighbours=20))
+    x = _xi(spark, d)
+    return x, linear.fit(x, SLIM)
 
 
 @query()
@@ -627,6 +665,28 @@ def slim_weights(spark, d):
     return _round(_linear(spark, d)[1], "weight", digits=6)
 
 
+@query(_STATE_IX + ', t as (select distinct a.item as dst from st a join st b on a."user" = b."user" and a.item <> b.item) select dst, 0.0::double as violation from t')
+def slim_optimality(spark, d):
+    """By target, how far the weights are from the conditions of the optimum, as a share of the penalty.
+
+    The slope of the fit less the ridge term equals the penalty where a weight is positive, and doesn't exceed it elsewhere.
+    """
+    x, sim = _linear(spark, d)
+    n = x.agg(F.max("user") + 1).first()[0] or 1
+    half = materialize(gram(x), "gram")
+    near = neighbours(half, SLIM.neighbours).select("dst", "src", "g")
+    weights = near.join(sim, ["src", "dst"], "left").select("dst", "src", "g", F.coalesce("weight", F.lit(0.0)).alias("w"))
+    inner = half.select(F.col("i").alias("src"), F.col("j").alias("other"), F.col("g").alias("p"))
+    fitted = weights.select("dst", F.col("src").alias("other"), "w").where("w <> 0").join(inner, "other").groupBy("dst", "src").agg(F.sum(F.col("w") * F.col("p")).alias("fit"))
+    l1, l2 = SLIM.alpha * SLIM.l1_ratio, SLIM.alpha * (1 - SLIM.l1_ratio)
+    # an item without any entry but zeros can't be fitted: its weight stays 0
+    alone = half.where("i = j").select(F.col("i").alias("src"), F.col("g").alias("square"))
+    slope = (F.col("g") - F.coalesce("fit", F.lit(0.0))) / n - l2 * F.col("w")
+    off = F.when(F.col("square") == 0, 0.0).when(F.col("w") > 0, F.abs(slope - l1)).otherwise(F.greatest(slope - l1, F.lit(0.0)))
+    judged = weights.join(fitted, ["dst", "src"], "left").join(alone, "src")
+    return judged.groupBy("dst").agg(F.round(F.max(off) / l1, 3).alias("violation"))
+
+
 @query()
 def slim_recommend(spark, d):
     x, sim = _linear(spark, d)
@@ -641,15 +701,22 @@ def slim_similar_items(spark, d):
 
 @query()
 def slim_refit_touched(spark, d):
-    """The weights after solving a fifth of the items anew upon the whole matrix."""
+    """The weights after solving the items of the last tenth of the arrivals anew upon the whole matrix."""
     x, sim = _linear(spark, d)
-    return _round(linear.refit(sim, x, x.where("item % 5 = 0").select("item"), linear.LinearConfig(neighbours=20)), "weight", digits=6)
+    rows = _ix(spark, d)
+    last = rows.approxQuantile("seq", [0.9], 0.001) or [0.0]
+    return _round(linear.refit(sim, x, rows.where(F.col("seq") > last[0]).select("item"), SLIM), "weight", digits=6)
+
+
+def _genre_tags(spark, d) -> DataFrame:
+    g = table(spark, d, "movies").select(F.col("item").alias("entity"), F.transform(F.split("genres", "\\|"), F.trim).alias("tags"))
+    return g.select("entity", F.filter("tags", lambda t: t != "").alias("tags")).where("tags is not null")
 
 
 def _fm(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    x = _x(spark, d)
-    users = tags.entity_features(x.select(F.col("user").alias("entity")).distinct(), _user_tags(spark, d))
-    items = tags.entity_features(x.select(F.col("item").alias("entity")).distinct())
+    x = materialize(_xi(spark, d), "matrix")
+    users = tags.entity_features(x.select(F.col("user").alias("entity")).distinct())
+    items = tags.entity_features(x.select(F.col("item").alias("entity")).distinct(), _genre_tags(spark, d))
     return x, users, items, factors.fit(x, users, items, factors.FactorConfig())
 
 
@@ -674,8 +741,8 @@ def fm_similar_items(spark, d):
 def hybrid_recommend(spark, d):
     x, users, items, params = _fm(spark, d)
     by_factors = factors.recommend(params, users, items, x, K).drop("rank")
-    by_linear = linear.recommend(x, linear.fit(x, linear.LinearConfig(neighbours=20)), x.select("user"), K).drop("rank")
-    return ranking.ensemble(by_factors, by_linear, ops.contact_counts(_ev(spark, d)), K)
+    by_linear = linear.recommend(x, linear.fit(x, SLIM), x.select("user"), K).drop("rank")
+    return ranking.ensemble(by_factors, by_linear, ops.contact_counts(_ix(spark, d)), K)
 
 
 # -- rank fusion and metrics --------------------------------------------------------------------------------------
@@ -798,7 +865,7 @@ def stream_state_decay(spark, d):
 
 # row numbers are INT here and sums of whole numbers BIGINT; SQL's are wider
 for _names, _column, _kind in (
-    (("user_recent_items", "hot_items", "hot_items_excl_seen", "gram_topn", "cooc_recommend", "candidate_recs", "cold_user_recs", "hot_candidates"), "rank", "int"),
+    (("user_recent_items", "hot_items", "hot_items_excl_seen", "gram_topn", "cooc_recommend", "candidate_recs", "cold_user_recs", "hot_candidates", "gram_topn_ix", "cooc_recommend_ix"), "rank", "int"),
     (("recent_rows_by_user",), "n", "int"),
     (("metrics_per_user", "eval_summary"), "tp", "bigint"),
 ):
