@@ -285,7 +285,7 @@ def test_factors_learn_blocks(spark, shards, schedule):
     data = [(u, i, 1.0) for u in range(20) for i in range(10) if (u < 10) == (i < 5) and (u + i) % 4]
     x = spark.createDataFrame(data, "user long, item long, weight double")
     users, items = (tags.entity_features(x.select(F.col(c).alias("entity")).distinct()) for c in ("user", "item"))
-    config = factors.FactorConfig(dim=4, epochs=15 * shards if schedule == "adagrad" else 60, seed=1, shards=shards, schedule=schedule)
+    config = factors.FactorConfig(dim=4, epochs=25 if schedule == "adagrad" else 50, seed=1, shards=shards, schedule=schedule, block=4)
     params = factors.fit(x, users, items, config)
     recs = factors.recommend(params, users, items, x, 2).collect()
     seen = {(u, i) for u, i, _ in data}

@@ -51,6 +51,8 @@ class FactorConfig:
     rho: float = 0.95
     epsilon: float = 1e-6
     shards: int = 8
+    #: Pairs of a shard that take one step together.
+    block: int = 32
 
     def __post_init__(self):
         if self.loss not in ("warp", "bpr", "logistic"):
@@ -129,7 +131,7 @@ def _epoch(shards: DataFrame, shared, config: FactorConfig, epoch: int, steps: S
         before, sides = shared.value
         mine = before.copy()
         rows = rows.sort_values(["u", "i", "w"])
-        train_pairs(mine, sides, rows["u"].to_numpy(), rows["i"].to_numpy(), rows["w"].to_numpy(), config.loss, config.max_sampled, config.user_l2, config.item_l2, config.seed + 1000 * epoch + int(key[0]))
+        train_pairs(mine, sides, rows["u"].to_numpy(), rows["i"].to_numpy(), rows["w"].to_numpy(), config.loss, config.max_sampled, config.user_l2, config.item_l2, config.seed + 1000 * epoch + int(key[0]), config.block)
         out = []
         for which, used in enumerate(mine.used):
             changed = np.flatnonzero(used)

@@ -114,8 +114,14 @@ class Steps:
         return out
 
     def take(self, which: int, rows: np.ndarray, grad: np.ndarray) -> None:
-        """One step against the gradient for the rows of one kind of parameters."""
-        self.used[which][rows] += 1
+        """One step against the gradient, summed by row, for one kind of parameters."""
+        if not len(rows):
+            return
+        order = np.argsort(rows, kind="stable")
+        first = np.flatnonzero(np.diff(rows[order], prepend=-1))
+        rows, many = rows[order][first], np.diff(np.append(first, len(rows)))
+        grad = np.add.reduceat(grad[order], first, axis=0).astype(np.float32)
+        self.used[which][rows] += many
         h = self.squares[which]
         if self.moves is None:
             h[rows] += grad * grad
@@ -128,56 +134,67 @@ class Steps:
         self.p[which][rows] -= move
 
 
+class Entities:
+    """The features of some entities, and the sums of their parameters."""
+
+    def __init__(self, steps: Steps, which: int, side: tuple[np.ndarray, np.ndarray, int], chosen: np.ndarray):
+        start, features, _ = side
+        length = start[chosen + 1] - start[chosen]
+        before = np.cumsum(length) - length
+        self.owner = np.repeat(np.arange(len(chosen)), length)
+        self.rows = features[np.repeat(start[chosen] - before, length) + np.arange(length.sum())]
+        self.vec = np.add.reduceat(steps.p[which][self.rows], before, axis=0)
+        self.bias = np.add.reduceat(steps.p[2 + which][self.rows], before)
+
+
 def train_pairs(
     steps: Steps, sides: list[tuple[np.ndarray, np.ndarray, int]], user: np.ndarray, item: np.ndarray, weight: np.ndarray, loss: str = "warp",
-    max_sampled: int = 10, user_l2: float = 1e-7, item_l2: float = 1e-7, seed: int = 0,
+    max_sampled: int = 10, user_l2: float = 1e-7, item_l2: float = 1e-7, seed: int = 0, block: int = 32,
 ) -> None:
-    """One epoch over pairs, in place. sides: (starts, features, entities) of users and items; the pairs are sorted.
+    """One epoch over pairs, in place, `block` pairs a step. sides: (starts, features, entities) of users and items,
+    each entity with one feature at least; the pairs are sorted.
 
-    warp: negatives are drawn until one outranks the positive; the step grows with the rank that this implies.
-    bpr: one negative, logistic step. logistic: signs of the weights as labels.
+    warp: of max_sampled negatives the first that outranks the positive counts; the step grows with the rank that this
+    implies. bpr: one negative, logistic step. logistic: signs of the weights as labels.
     """
     rng = np.random.default_rng(seed)
-    (u_start, u_features, _), (i_start, i_features, n_items) = sides
+    n_items = sides[1][2]
     seen = user.astype(np.int64) * n_items + item
-    eu, ei, bu, bi = steps.p
-
-    def known(u: int, j: int) -> bool:
-        key = u * n_items + j
-        at = seen.searchsorted(key)
-        return at < len(seen) and seen[at] == key
-
-    for at in rng.permutation(len(user)).tolist():
-        u, i, w = int(user[at]), int(item[at]), float(weight[at])
-        fu, fi = u_features[u_start[u] : u_start[u + 1]], i_features[i_start[i] : i_start[i + 1]]
-        vu, vi = eu[fu].sum(0), ei[fi].sum(0)
-        base = float(bu[fu].sum())
-        score = float(vu @ vi) + float(bi[fi].sum()) + base
+    order = rng.permutation(len(user))
+    if loss != "logistic":
+        order = order[weight[order] > 0]
+    draws = max_sampled if loss == "warp" else 1
+    for at in range(0, len(order), block):
+        chosen = order[at : at + block]
+        u, i, w = user[chosen], item[chosen], weight[chosen]
+        users, items = Entities(steps, 0, sides[0], u), Entities(steps, 1, sides[1], i)
+        score = np.einsum("bd,bd->b", users.vec, items.vec) + users.bias + items.bias
         if loss == "logistic":
-            push = (1 / (1 + np.exp(-score)) - (1.0 if w > 0 else 0.0)) * abs(w)
-            steps.take(0, fu, push * vi + user_l2 * eu[fu])
-            steps.take(1, fi, push * vu + item_l2 * ei[fi])
-            steps.take(3, fi, np.full(len(fi), push, np.float32))
-            steps.take(2, fu, np.full(len(fu), push, np.float32))
+            push = (1 / (1 + np.exp(-score)) - (w > 0)) * np.abs(w)
+            _step(steps, 0, users, push, items.vec, user_l2)
+            _step(steps, 1, items, push, users.vec, item_l2)
             continue
-        if w <= 0:
+        j = rng.integers(n_items, size=(len(u), draws))
+        key = u[:, None].astype(np.int64) * n_items + j
+        usable = seen[np.minimum(seen.searchsorted(key), len(seen) - 1)] != key
+        drawn = Entities(steps, 1, sides[1], j.ravel())
+        other = np.einsum("bd,bsd->bs", users.vec, drawn.vec.reshape(len(u), draws, -1)) + users.bias[:, None] + drawn.bias.reshape(len(u), draws)
+        if loss == "warp":
+            usable &= other > score[:, None] - 1
+        first = usable.argmax(axis=1)
+        push = np.minimum(w * np.log(np.maximum(1.0, (n_items - 1) // (first + 1))), 10.0) if loss == "warp" else w * (1 - 1 / (1 + np.exp(-(score - other[:, 0]))))
+        push = np.where(usable.any(axis=1), push, 0.0)
+        taken = push > 0
+        if not taken.any():
             continue
-        for tries in range(1, (max_sampled if loss == "warp" else 1) + 1):
-            j = int(rng.integers(n_items))
-            if known(u, j):
-                continue
-            fj = i_features[i_start[j] : i_start[j + 1]]
-            vj = ei[fj].sum(0)
-            other = float(vu @ vj) + float(bi[fj].sum()) + base
-            if loss == "warp":
-                if other <= score - 1:
-                    continue
-                push = min(w * np.log(max(1.0, (n_items - 1) // tries)), 10.0)
-            else:
-                push = w * (1 - 1 / (1 + np.exp(-(score - other))))
-            steps.take(0, fu, push * (vj - vi) + user_l2 * eu[fu])
-            steps.take(1, fi, -push * vu + item_l2 * ei[fi])
-            steps.take(1, fj, push * vu + item_l2 * ei[fj])
-            steps.take(3, fi, np.full(len(fi), -push, np.float32))
-            steps.take(3, fj, np.full(len(fj), push, np.float32))
-            break
+        u, i, j, push = u[taken], i[taken], j[taken, first[taken]], push[taken]
+        users, pair = Entities(steps, 0, sides[0], u), Entities(steps, 1, sides[1], np.concatenate([i, j]))
+        _step(steps, 0, users, push, pair.vec[len(i) :] - pair.vec[: len(i)], user_l2, bias=False)
+        _step(steps, 1, pair, np.concatenate([-push, push]), np.vstack([users.vec, users.vec]), item_l2)
+
+
+def _step(steps: Steps, which: int, entities: Entities, push: np.ndarray, toward: np.ndarray, l2: float, bias: bool = True) -> None:
+    grad = (push[:, None] * toward)[entities.owner] + l2 * steps.p[which][entities.rows]
+    steps.take(which, entities.rows, grad)
+    if bias:
+        steps.take(2 + which, entities.rows, push[entities.owner])
