@@ -1,9 +1,10 @@
 """Frequency of every distinct term: a range-partitioned external sort, then run-length scanning.
 
-Pairs of (term, record identifier) are range partitioned on the whole pair and sorted, spilling as they must. A
-frequent term is thereby divided over many partitions, and equal pairs never are. Each partition is read once in
-order: a run of one pair is a record that holds the term, and its length the occurrences there. The counts of a
-partition's terms are plain sums, so those of a term that was divided add up.
+Equal pairs of (term, record identifier) are counted within each batch as it is read, so that one pair that makes up
+a large share of all rows shrinks to one row a batch. The pairs are then range partitioned on the whole pair and
+sorted, spilling as they must. A frequent term is thereby divided over many partitions, and equal pairs never are.
+Each partition is read once in order: a run of one pair is a record that holds the term, and the counts in it the
+occurrences there. The counts of a partition's terms are plain sums, so those of a term that was divided add up.
 
 Defined results: nulls in a record's columns are equal to each other, as are NaNs and the two zeros; a null term is
 counted under the null term, which callers may drop; a term that occurs twice in a record counts two occurrences and
@@ -44,6 +45,15 @@ def _differs(columns: Sequence[pa.Array], before: Sequence[pa.Array] | None) ->
     return out
 
 
+def _counted(names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = pa.Table.from_batches([b]).group_by(names, use_threads=False).aggregate([([], "count_all")])
+            yield from found.select([*names, "count_all"]).combine_chunks().to_batches()
+
+    return run
+
+
 def _run_lengths(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
@@ -57,7 +67,7 @@ def _run_lengths(width: int):
             start = np.flatnonzero(term)
             if not len(start) or start[0]:
                 start = np.append(0, start)
-            rows = np.diff(np.append(start, b.num_rows))
+            rows = np.add.reduceat(b.column("n").to_numpy(), start)
             records = np.add.reduceat(pair.astype(np.int64), start)
             yield pa.RecordBatch.from_arrays([b.column("c0").take(pa.array(start)), pa.array(rows.astype(np.int64)), pa.array(records)], names=["term", "occurrences", "records"])
             last = [c.slice(b.num_rows - 1, 1) for c in columns]
@@ -69,7 +79,8 @@ def term_frequencies(df: DataFrame, term: str, record: Sequence[str]) -> DataFra
     """(term, occurrences, records): one row per distinct term; record names the columns that identify a record."""
     by = [f"c{i}" for i in range(1 + len(record))]
     pairs = df.select(*(F.col(c).alias(n) for c, n in zip((term, *record), by)))
-    ordered = pairs.repartitionByRange(*by).sortWithinPartitions(*by)
+    counted = pairs.mapInArrow(_counted(by), ", ".join(f"{n} {k}" for n, k in (*pairs.dtypes, ("n", "long"))))
+    ordered = counted.repartitionByRange(*by).sortWithinPartitions(*by)
     runs = ordered.mapInArrow(_run_lengths(len(by)), f"term {dict(pairs.dtypes)['c0']}, occurrences long, records long")
     return runs.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 

@@ -108,9 +108,12 @@ def mix(corpus: DataFrame, targets: DataFrame, key: str, size: float | None = No
     size = float(whole if size is None else size)
     share, cap = (np.array([wanted[s][i] for s in sources], float) for i in (0, 1))
     available = tokens.sum(axis=(1, 2))
-    reachable = available * cap >= share * size
-    goal = np.where(reachable, share * size, available * cap)
-    copies = rake(tokens, goal, cap)
+    asked = share * size
+    copies = rake(tokens, asked, cap)
+    # out of reach: the raking has put every cell of the source at its cap, and that is still too little
+    at_cap = ((copies >= cap[:, None, None]) | (tokens == 0)).all(axis=(1, 2))
+    reachable = ~(at_cap & (available * cap < asked))
+    goal = np.where(reachable, asked, available * cap)
 
     rows = [(sources[s], langs[a], tops[t], int(np.floor(copies[s, a, t] + 1e-9)), float(max(0.0, copies[s, a, t] - np.floor(copies[s, a, t] + 1e-9)))) for s, a, t in zip(*np.nonzero(tokens))]
     of_cell = F.broadcast(spark.createDataFrame(rows or [("", "", "", 0, 0.0)], "source string, lang string, topic string, base int, part double"))

@@ -171,15 +171,23 @@ def pack(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, vocabular
     """(key, part, first_token, n_tokens, container_id): every part of every text and the container it goes into."""
     spark = df.sparkSession
     tokens = materialize(count_tokens(spread(df.select(key, text)), text, [key], vocabulary), "tokens")
-    salts = min(256, max(16, shuffle_partitions(spark)))
-    parts = cut(tokens, key, capacity).withColumn("salt", F.pmod(F.xxhash64(key, "part"), F.lit(salts)).cast("int"))
-    # at most capacity x salts rows
-    counts = np.zeros((capacity + 1, salts), np.int64)
-    for r in parts.groupBy("n_tokens", "salt").agg(F.count(F.lit(1)).alias("n")).collect():
-        counts[r["n_tokens"], r["salt"]] = r["n"]
-    plan = intervals(plan_blocks(counts.sum(axis=1), capacity))
-    before = np.cumsum(counts, axis=1) - counts
-    w = Window.partitionBy("n_tokens", "salt").orderBy(key, "part")
+    parts = cut(tokens, key, capacity)
+    # as many cells for a length as its share asks for: at most 4 P + capacity in all, with P shuffle partitions
+    sizes = np.zeros(capacity + 1, np.int64)
+    for r in parts.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect():
+        sizes[r["n_tokens"]] = r["n"]
+    many = np.maximum(1, -(-4 * shuffle_partitions(spark) * sizes // max(1, sizes.sum())))
+    first = np.cumsum(many) - many
+    cells = spark.createDataFrame([(n, int(first[n]), int(many[n])) for n in np.flatnonzero(sizes).tolist()], "n_tokens long, first int, many int")
+    parts = parts.join(F.broadcast(cells), "n_tokens").withColumn("cell", F.col("first") + F.pmod(F.xxhash64(key, "part"), F.col("many")).cast("int"))
+    counts = np.zeros(int(many.sum()), np.int64)
+    for r in parts.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts[r["cell"]] = r["n"]
+    plan = intervals(plan_blocks(sizes, capacity))
+    # parts of the same length in earlier cells
+    before = np.cumsum(counts) - counts
+    before -= np.repeat(before[first], many)
+    w = Window.partitionBy("cell").orderBy(key, "part")
     ranked = parts.withColumn("r", F.row_number().over(w))
     plan_b, before_b = spark.sparkContext.broadcast(plan), spark.sparkContext.broadcast(before)
     span = 1 << 40
@@ -189,14 +197,14 @@ def pack(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, vocabular
         rows = plan_b.value
         starts = rows[:, 0] * span + rows[:, 1]
         for b in batches:
-            length, salt = b.column("n_tokens").to_numpy(), b.column("salt").to_numpy()
-            rank = before_b.value[length, salt] + b.column("r").to_numpy() - 1
+            length = b.column("n_tokens").to_numpy()
+            rank = before_b.value[b.column("cell").to_numpy()] + b.column("r").to_numpy() - 1
             row = rows[np.searchsorted(starts, length * span + rank, side="right") - 1]
             container = row[:, 3] + (rank - row[:, 1]) // row[:, 2]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:-1]), pa.array(container)], names=names)
 
     kind = dict(df.dtypes)[key]
-    return ranked.select(*names[:-1], "salt", "r").mapInArrow(place, f"`{key}` {kind}, part long, first_token long, n_tokens long, container_id long")
+    return ranked.select(*names[:-1], "cell", "r").mapInArrow(place, f"`{key}` {kind}, part long, first_token long, n_tokens long, container_id long")
 
 
 def pack_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
