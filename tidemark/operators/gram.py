@@ -26,8 +26,17 @@ def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def encode(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         flat = column.flatten()
-        codes = np.array([index.setdefault(v, len(index)) for v in flat.field("item").to_pylist()], np.int64)
-        return codes, flat.field("w").to_numpy(zero_copy_only=False), np.append(0, np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+        coded = flat.field("item").dictionary_encode()
+        code = np.array([index.setdefault(v, len(index)) for v in coded.dictionary.to_pylist()], np.int64)
+        return code[coded.indices.to_numpy()], flat.field("w").to_numpy(zero_copy_only=False), np.append(0, np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+
+    def add(a: np.ndarray, b: np.ndarray, product: np.ndarray) -> None:
+        nonlocal held
+        keys.append(((np.minimum(a, b) << 32) | np.maximum(a, b)).ravel())
+        sums.append(product.ravel())
+        held += product.size
+        if held > 4 * HELD:
+            merge()
 
     def merge() -> None:
         nonlocal keys, sums, held
@@ -41,26 +50,28 @@ def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = pa.array(list(index))
         out = pa.RecordBatch.from_arrays([items.take(pa.array(keys[0] >> 32)), items.take(pa.array(keys[0] & 0xFFFFFFFF)), pa.array(sums[0])], names=["i", "j", "g"])
         keys, sums, held = [], [], 0
+        index.clear()
         return out
 
     for b in batches:
         left, lw, lo = encode(b.column("left"))
         right, rw, ro = encode(b.column("right"))
-        for r in range(b.num_rows):
-            x, xw = left[lo[r] : lo[r + 1]], lw[lo[r] : lo[r + 1]]
-            if ro[r + 1] > ro[r]:
-                y, yw = right[ro[r] : ro[r + 1]], rw[ro[r] : ro[r + 1]]
-                p, q = np.repeat(np.arange(len(x)), len(y)), np.tile(np.arange(len(y)), len(x))
-            else:
-                y, yw = x, xw
-                p, q = np.triu_indices(len(x))
-            keys.append((np.minimum(x[p], y[q]) << 32) | np.maximum(x[p], y[q]))
-            sums.append(xw[p] * yw[q])
-            held += len(p)
-            if held > 4 * HELD:
-                merge()
-                if held > 2 * HELD:
-                    yield flush()
+        size, other = np.diff(lo), np.diff(ro)
+        for r in np.flatnonzero(other).tolist():
+            x, y = slice(lo[r], lo[r + 1]), slice(ro[r], ro[r + 1])
+            add(left[x][:, None], right[y][None, :], lw[x][:, None] * rw[y][None, :])
+        # users with as many items are multiplied out together
+        for k in np.unique(size[(other == 0) & (size > 0)]).tolist():
+            rows = np.flatnonzero((size == k) & (other == 0))
+            p, q = np.triu_indices(k)
+            for part in np.array_split(rows, max(1, len(rows) * len(p) // HELD)):
+                at = lo[part][:, None] + np.arange(k)
+                x, w = left[at], lw[at]
+                add(x[:, p], x[:, q], w[:, p] * w[:, q])
+        if held > 2 * HELD:
+            merge()
+            if held > 2 * HELD:
+                yield flush()
     if keys:
         yield flush()
 
