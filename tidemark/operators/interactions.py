@@ -25,6 +25,8 @@ from .ids import numbered
 CHUNK = 50_000
 COLUMNS = ("user", "item", "tstamp", "rating")
 FUTURE_SECONDS = 180
+#: Lists of popular items up to this length are broadcast.
+SHARED_RANKS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -228,4 +230,6 @@ def hot_items_for(state: DataFrame, pop: DataFrame, users: DataFrame, k: int) ->
     need = asked.join(seen.join(hot, "item").groupBy("user").agg(F.collect_list("rank").alias("touched")), "user", "left")
     wanted = F.slice(F.array_except(F.sequence(F.lit(1), F.lit(k) + F.coalesce(F.size("touched"), F.lit(0))), F.coalesce("touched", F.array().cast("array<int>"))), 1, k)
     placed = need.select("user", F.posexplode(wanted).alias("pos", "rank"))
-    return placed.join(hot, "rank").select("user", "item", (F.col("pos") + 1).alias("rank"))
+    # every user asks for the first ranks: the list goes to the users while it is short
+    listed = F.broadcast(hot) if k + most <= SHARED_RANKS else hot
+    return placed.join(listed, "rank").select("user", "item", (F.col("pos") + 1).alias("rank"))
