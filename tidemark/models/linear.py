@@ -90,13 +90,7 @@ class Matrix:
         start, index, value = self.rows
         length = start[rows + 1] - start[rows]
         at = np.repeat(start[rows] - np.append(0, np.cumsum(length)[:-1]), length) + np.arange(length.sum())
-        item, part = index[at], value[at] * np.repeat(weight, length)
-        if len(item) * 4 > self.n_columns:
-            sums, met = np.bincount(item, part, self.n_columns), np.bincount(item, minlength=self.n_columns) > 0
-            found = np.flatnonzero(met)
-            return found, sums[found]
-        found, back = np.unique(item, return_inverse=True)
-        return found, np.bincount(back, part)
+        return summed(index[at], value[at] * np.repeat(weight, length), self.n_columns)
 
     def gram(self, chosen: np.ndarray) -> np.ndarray:
         """The products among the chosen columns."""
@@ -109,6 +103,16 @@ class Matrix:
         return dense.T @ dense
 
 
+def summed(index: np.ndarray, part: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct indices below n, in order; sums of their parts)."""
+    if len(index) * 4 > n:
+        sums, met = np.bincount(index, part, n), np.bincount(index, minlength=n) > 0
+        found = np.flatnonzero(met)
+        return found, sums[found]
+    found, back = np.unique(index, return_inverse=True)
+    return found, np.bincount(back, part, len(found))
+
+
 def nearest(item: np.ndarray, product: np.ndarray, j: int, n: int | None) -> tuple[np.ndarray, np.ndarray]:
     """The n items with the largest products, j itself aside; ties to the smaller item."""
     other = item != j
@@ -228,16 +232,20 @@ def scores(x: DataFrame, sim: DataFrame, users: DataFrame | None = None) -> Data
     return joined.groupBy("user", F.col("dst").alias("item")).agg(F.sum(F.col("x") * F.col("weight")).alias("score"))
 
 
-def recommend(x: DataFrame, sim: DataFrame, users: DataFrame, k: int, candidates: DataFrame | None = None, exclude_seen: bool = True, pad_zero: bool = False) -> DataFrame:
+def recommend(x: DataFrame, sim: DataFrame, users: DataFrame, k: int, candidates: DataFrame | None = None, exclude_seen: bool = True, pad_zero: bool = False, digits: int | None = None) -> DataFrame:
     """(user, item, score, rank). Given candidates, seen items stay in. With pad_zero items without a score count as 0.
 
+    digits: scores are rounded to so many before they are ranked, so that the order of summation decides no tie.
+
     Weights of at most SHARED_ENTRIES entries are shared with every task, which then scores, leaves out and ranks the
     items of its users on its own; beyond that the product is a join, whose hot items Spark's skew join divides.
     Padding needs only the first items that a user lacks: the k + m smallest items, m the user's scored and seen ones.
     """
     if sim.limit(SHARED_ENTRIES + 1).count() <= SHARED_ENTRIES:
-        return _recommend_shared(x, sim, users, k, candidates, exclude_seen, pad_zero)
+        return _recommend_shared(x, sim, users, k, candidates, exclude_seen, pad_zero, digits)
     out = scores(x, sim, users)
+    if digits is not None:
+        out = out.withColumn("score", F.round("score", digits))
     if candidates is not None:
         known = x.select("item").distinct()
         usable = ranking.restrict(out, candidates, known)
@@ -257,7 +265,7 @@ def recommend(x: DataFrame, sim: DataFrame, users: DataFrame, k: int, candidates
     return ranking.top_k(out, k)
 
 
-def _recommend_shared(x: DataFrame, sim: DataFrame, users: DataFrame, k: int, candidates: DataFrame | None, exclude_seen: bool, pad_zero: bool) -> DataFrame:
+def _recommend_shared(x: DataFrame, sim: DataFrame, users: DataFrame, k: int, candidates: DataFrame | None, exclude_seen: bool, pad_zero: bool, digits: int | None) -> DataFrame:
     spark, kinds = x.sparkSession, dict(x.dtypes)
     held = sim.toArrow()
     columns = [held.column(c).combine_chunks() for c in ("src", "dst")]
@@ -297,8 +305,9 @@ def _recommend_shared(x: DataFrame, sim: DataFrame, users: DataFrame, k: int, ca
                 mine, w = mine[known], w[known]
                 length = start[mine + 1] - start[mine]
                 at = np.repeat(start[mine] - np.append(0, np.cumsum(length)[:-1]), length) + np.arange(length.sum())
-                item, back = np.unique(index[at], return_inverse=True)
-                s = np.bincount(back, weight[at] * np.repeat(w, length), len(item))
+                item, s = summed(index[at], weight[at] * np.repeat(w, length), len(names))
+                if digits is not None:
+                    s = np.round(s, digits)
                 if len(paddings):
                     # as many as could be needed if all of the user's items and scored ones stood first
                     more = np.setdiff1d(paddings[: k + len(item) + len(mine)], item, assume_unique=True)

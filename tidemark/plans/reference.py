@@ -648,8 +648,8 @@ def gram_topn_ix(spark, d):
   select "user", item, round(score, 3) as score, rank from r where rank <= 10""")
 def cooc_recommend_ix(spark, d):
     x, near = _near_ix(spark, d)
-    scored = ranking.exclude_seen(_round(linear.scores(x, near.select("src", "dst", F.col("g").alias("weight"))), "score"), x)
-    return _round(ranking.top_k(scored, K), "score", digits=3)
+    sim = near.select("src", "dst", F.col("g").alias("weight"))
+    return _round(linear.recommend(x, materialize(sim, "similarity"), x.select("user"), K, digits=4), "score", digits=3)
 
 
 SLIM = linear.LinearConfig(neighbours=20, max_iter=2000, tol=1e-9)
