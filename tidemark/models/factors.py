@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
@@ -127,19 +126,21 @@ def fit(x: DataFrame, user_features: DataFrame, item_features: DataFrame, config
 def _epoch(shards: DataFrame, shared, config: FactorConfig, epoch: int, steps: Steps) -> None:
     """Train a copy in every shard, and put the weighted means of what changed into steps."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
         before, sides = shared.value
         mine = before.copy()
-        rows = rows.sort_values(["u", "i", "w"])
-        train_pairs(mine, sides, rows["u"].to_numpy(), rows["i"].to_numpy(), rows["w"].to_numpy(), config.loss, config.max_sampled, config.user_l2, config.item_l2, config.seed + 1000 * epoch + int(key[0]), config.block)
+        u, i, w = (rows.column(c).to_numpy() for c in ("u", "i", "w"))
+        order = np.lexsort((w, i, u))
+        train_pairs(mine, sides, u[order], i[order], w[order], config.loss, config.max_sampled, config.user_l2, config.item_l2, config.seed + 1000 * epoch + int(key[0].as_py()), config.block)
         out = []
         for which, used in enumerate(mine.used):
             changed = np.flatnonzero(used)
-            vec = np.hstack([a[which].reshape(len(used), -1)[changed] for a in mine.all()])
-            out.append(pd.DataFrame({"which": np.int32(which), "no": changed, "n": used[changed], "vec": list(vec)}))
-        return pd.concat(out)
+            vec = np.hstack([a[which].reshape(len(used), -1)[changed] for a in mine.all()]).astype(np.float32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(changed) + 1) * vec.shape[1], pa.int32()), pa.array(vec.ravel()))
+            out.append(pa.table({"which": pa.array(np.full(len(changed), which, np.int32)), "no": pa.array(changed), "n": pa.array(used[changed]), "vec": lists}))
+        return pa.concat_tables(out)
 
-    changed = shards.groupBy("shard").applyInPandas(run, "which int, no long, n long, vec array<float>")
+    changed = shards.groupBy("shard").applyInArrow(run, "which int, no long, n long, vec array<float>")
     size = max(len(steps.all()) * config.dim, 1)
     sums = [F.sum(F.get("vec", F.lit(i)).cast("double") * F.col("n")) / F.sum("n") for i in range(size)]
     mean = changed.groupBy("which", "no").agg(F.array(*sums).alias("vec")).toArrow()
