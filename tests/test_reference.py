@@ -11,8 +11,8 @@ from tidemark.functions import scalar as S
 from tidemark.models import factors, linear
 from tidemark.models.solvers import elastic_net, elastic_net_columns, elastic_net_sgd
 from tidemark.operators import interactions as ops
-from tidemark.operators import metrics, ranking, splits, tags
-from tidemark.operators.gram import gram, neighbours
+from tidemark.operators import metrics, ranking, shared, splits, tags
+from tidemark.operators.gram import gram, nearest_items, neighbours
 from tidemark.operators.ids import dictionary, numbered
 
 SCHEMA = "user long, item long, tstamp double, rating double, seq long"
@@ -200,6 +200,20 @@ def test_gram_by_blocks(spark, block):
     assert near.where("src = dst").count() == 0 and near.groupBy("dst").count().agg(F.max("count")).first()[0] <= 3
 
 
+@pytest.mark.parametrize("sizes", [{}, {"PART": 50, "FETCH": 10, "CHUNK": 7, "KEEP": 1}])
+def test_nearest_items_equal_neighbours_without_writing_products(spark, rows, monkeypatch, sizes):
+    rng = np.random.default_rng(3)
+    many = [rng.integers(-2, 5, 4).astype(float), rng.random(1000)][bool(sizes)]
+    data = [(u, f"i{i}", float(rng.choice(many))) for u in range(60) for i in range(40) if rng.random() < 0.2] + [(None, "i1", 1.0), (3, None, 1.0), (99, "i77", None), (98, "alone", 1.0)]
+    x = spark.createDataFrame(data, "user long, item string, weight double")
+    for name, value in sizes.items():
+        monkeypatch.setattr(shared, name, value)
+    want = rows(neighbours(gram(x).withColumn("g", F.round("g", 6)), 5).select("dst", "src", "g", "rank"))
+    monkeypatch.setattr("tidemark.operators.gram.gram_half", None)  # the products of pairs are not a table
+    assert rows(nearest_items(x, 5, 6)) == want and want
+    assert nearest_items(x.where("false"), 5).count() == 0
+
+
 @pytest.mark.parametrize("solve", [elastic_net, elastic_net_sgd])
 def test_solver_meets_optimality_conditions(solve):
     rng = np.random.default_rng(1)
