@@ -270,6 +270,21 @@ def test_recommend_by_shared_weights_equals_join(spark, rows, monkeypatch, optio
     assert rows(linear.recommend(x, sim, users, 5, **given).select("user", "item", "score", "rank")) == shared and shared
 
 
+@pytest.mark.parametrize("exclude_seen, digits", [(True, 4), (False, None)])
+def test_recommend_in_parts_joins_nothing_by_pairs(spark, rows, monkeypatch, exclude_seen, digits):
+    rng = np.random.default_rng(9)
+    x = spark.createDataFrame([(f"u{u}", f"i{i}", float(rng.random())) for u in range(30) for i in range(25) if rng.random() < 0.3], "user string, item string, weight double")
+    sim = spark.createDataFrame([(f"i{i}", f"i{j}", float(rng.normal())) for i in range(22) for j in range(30) if i != j and rng.random() < 0.4], "src string, dst string, weight double")
+    users = x.select("user").distinct().where("user <> 'u3'")
+    of = lambda: [(r[0], r[1], round(r[2], 9), r[3]) for r in rows(linear.recommend(x, sim, users, 4, exclude_seen=exclude_seen, digits=digits).select("user", "item", "score", "rank"))]
+    want = of()
+    monkeypatch.setattr(linear, "SHARED_ENTRIES", 0)
+    monkeypatch.setattr(linear, "scores", None)  # the join of users' items with weights
+    monkeypatch.setattr(shared, "PART", 40)
+    monkeypatch.setattr(shared, "FETCH", 9)
+    assert of() == want and len(want) == 29 * 4
+
+
 NINE = [("u1", "i1", 5.0), ("u1", "i3", 4.0), ("u1", "i4", 5.0), ("u2", "i1", 4.0), ("u2", "i2", 3.0), ("u2", "i4", 4.0), ("u3", "i2", 4.0), ("u3", "i3", 2.0), ("u3", "i4", 1.0)]
 
 
