@@ -260,6 +260,17 @@ def test_pairs_edges(spark):
     assert cooccurring(one, [F.col("u")], "item", 1).count() == 0
 
 
+def test_p2_found_runs_the_whole_method(spark, monkeypatch, tmp_path):
+    rows = [(b, i) for b in range(6) for i in (1, 2)] + [(b, 3 + b % 5) for b in range(6, 200)]
+    df = spark.createDataFrame([(b, i, 0.0, 1.0) for b, i in rows], "user long, item long, tstamp double, rating double")
+    df.write.parquet(f"{tmp_path}/interactions.parquet")
+    fitted, tail = [], Null.log10_tail
+    made = Null.__init__
+    monkeypatch.setattr(Null, "__init__", lambda null, *a: [made(null, *a), fitted.append(null)][0])
+    assert [tuple(r) for r in queries.p2_found(spark, str(tmp_path)).collect()] == [(1, 2)]
+    assert len(fitted) == 1 and tail(fitted[0], np.array([6]), np.array([6]), np.array([6]))[1][0] < -4
+
+
 def test_p2_pairs_has_every_pair(spark):
     met = duckdb.sql(f"""with d as (select distinct "user" as u, floor(tstamp / 86400) as day, item from '{SMALL}/interactions.parquet' where "user" is not null and item is not null and tstamp is not null)
         select a.item, b.item, count(*) from d a join d b on a.u = b.u and a.day = b.day and a.item < b.item group by 1, 2""").fetchall()

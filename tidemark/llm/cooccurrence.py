@@ -1,8 +1,6 @@
 """Items that appear together: exact pair counts against a fitted bipartite configuration null.
 
-Counting. A basket is a set of distinct items. Where only counts are asked (frequent_pairs), items that can't reach the
-asked count or lift with any partner are left out beforehand, which loses no pair asked for. Baskets up to BLOCK items are counted where they lie: a task adds
-up the pairs of all its baskets before anything is shuffled. A larger basket is cut into blocks of items, and every
+Counting. A basket is a set of distinct items. Baskets up to BLOCK items are counted where they lie: a task adds up the pairs of all its baskets before anything is shuffled. A larger basket is cut into blocks of items, and every
 pair of blocks is a unit of its own, so no task ever holds a whole large basket.
 
 Null. In the bipartite configuration model an item of frequency f is in a basket of size k with probability
@@ -252,16 +250,6 @@ def _baskets(df: DataFrame, basket: Sequence[Column], item: str) -> tuple[DataFr
     return baskets, key, baskets.groupBy(*key).agg(F.count(F.lit(1)).alias("k")), materialize(baskets.groupBy("item").agg(F.count(F.lit(1)).alias("f")), "items")
 
 
-def frequent_pairs(df: DataFrame, basket: Sequence[Column], item: str, min_count: int, min_lift: int, block: int = BLOCK) -> DataFrame:
-    """(item_a, item_b, n_ab, n_a, n_b) of the pairs that cooccurring gives, without the null."""
-    baskets, key, sizes, items = _baskets(df, basket, item)
-    n = sizes.count()
-    # n_ab <= min(n_a, n_b), so a pair with the lift has max(n_a, n_b) <= n / lift
-    kept = items.where((F.col("f") >= min_count) & (F.col("f") <= n // min_lift))
-    pairs = pair_counts(baskets, key, kept, sizes, block).where(F.col("n_ab") >= min_count)
-    return pairs.where(exceeds(F.col("n_ab"), F.col("n_a"), F.col("n_b"), n, min_lift))
-
-
 def cooccurring(df: DataFrame, basket: Sequence[Column], item: str, min_count: int = 6, min_lift: int | None = None, fdr: float = 0.01, block: int = BLOCK) -> DataFrame:
     """(item_a, item_b, n_ab, n_a, n_b, n_baskets, expected, lift, log10_p, q_value, surprising), item_a < item_b.
 
@@ -275,26 +263,27 @@ def cooccurring(df: DataFrame, basket: Sequence[Column], item: str, min_count: i
     by_freq = {r["f"]: r["n"] for r in items.groupBy("f").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = sum(by_size.values())
     null = Null(by_size, by_freq)
-    pairs = pair_counts(baskets, key, items, sizes, block)
-    model = spark.sparkContext.broadcast(null)
     names = ["item_a", "item_b", "n_ab", "n_a", "n_b"]
+    pairs = materialize(pair_counts(baskets, key, items, sizes, block).select(*names), "pairs")
+    model = spark.sparkContext.broadcast(null)
+    # a tail depends on the two frequencies and the count alone, so it is computed once for all pairs that have the same
+    less, more = F.least("n_a", "n_b").alias("less"), F.greatest("n_a", "n_b").alias("more")
+    alike = pairs.groupBy(less, more, "n_ab").agg(F.count(F.lit(1)).alias("n")).repartition(2 * spark.sparkContext.defaultParallelism)
 
     def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            triples, at = np.unique(np.stack([np.minimum(b.column("n_a"), b.column("n_b")), np.maximum(b.column("n_a"), b.column("n_b")), b.column("n_ab")]), axis=1, return_inverse=True)
-            expected, log_p = np.empty(triples.shape[1]), np.empty(triples.shape[1])
-            for i in range(0, triples.shape[1], 2000):
+            triples = np.stack([b.column(c).to_numpy() for c in ("less", "more", "n_ab")])
+            expected, log_p = np.empty(b.num_rows), np.empty(b.num_rows)
+            for i in range(0, b.num_rows, 2000):
                 part = slice(i, i + 2000)
                 expected[part], log_p[part] = model.value.log10_tail(*triples[:, part])
-            at = at.ravel()
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(expected[at]), pa.array(np.maximum(log_p[at], -1e6))], names=[*names, "expected", "log10_p"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(expected), pa.array(np.maximum(log_p, -1e6))], names=[*b.schema.names, "expected", "log10_p"])
 
-    kind = dict(baskets.dtypes)["item"]
-    scored = materialize(pairs.select(*names).mapInArrow(tails, f"item_a {kind}, item_b {kind}, n_ab long, n_a long, n_b long, expected double, log10_p double"), "pairs")
+    scored = materialize(alike.mapInArrow(tails, "less long, more long, n_ab long, n long, expected double, log10_p double"), "tails")
     slot = F.least(F.floor(-F.col("log10_p") * BINS_A_DECADE), F.lit(DEEPEST * BINS_A_DECADE)).cast("int")
-    seen = {r["slot"]: r["n"] for r in scored.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    seen = {r["slot"]: r["n"] for r in scored.groupBy(slot.alias("slot")).agg(F.sum("n").alias("n")).collect()}
     hypotheses = null.n_items * (null.n_items - 1) / 2
     q, rank, rows = 1.0, sum(seen.values()), []
     for s in sorted(seen):  # from the largest tail to the smallest
@@ -303,8 +292,8 @@ def cooccurring(df: DataFrame, basket: Sequence[Column], item: str, min_count: i
         rank -= seen[s]
     table = F.broadcast(spark.createDataFrame(rows or [(-1, 1.0)], "slot int, q_value double"))
     lift = F.col("n_ab") * F.lit(float(n)) / (F.col("n_a").cast("double") * F.col("n_b"))
-    asked = scored.where(F.col("n_ab") >= min_count)
+    asked = pairs.where(F.col("n_ab") >= min_count)
     if min_lift:
         asked = asked.where(exceeds(F.col("n_ab"), F.col("n_a"), F.col("n_b"), n, min_lift))
-    out = asked.withColumn("slot", slot).join(table, "slot")
+    out = asked.withColumns({"less": less, "more": more}).join(scored.drop("n"), ["less", "more", "n_ab"]).withColumn("slot", slot).join(table, "slot")
     return out.select("item_a", "item_b", "n_ab", "n_a", "n_b", F.lit(n).cast("long").alias("n_baskets"), "expected", lift.alias("lift"), "log10_p", "q_value", (F.col("q_value") <= fdr).alias("surprising"))
