@@ -1,6 +1,7 @@
 """Operators of the recommendation engine: brute force, golden values and defined edges."""
 
 import math
+import os
 import random
 
 import numpy as np
@@ -327,6 +328,23 @@ def test_factors_learn_blocks(spark, shards, schedule):
         factors.FactorConfig(loss="warp-kos")
 
 
+def test_factor_parameters_reach_the_driver_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = spark.createDataFrame([(u, i, 1.0) for u in range(30) for i in range(12) if rng.random() < 0.3], "user long, item long, weight double")
+    of = lambda n: tags.entity_features(spark.range(n).select(F.col("id").alias("entity")))
+    config = factors.FactorConfig(dim=3, epochs=2, shards=4)
+    values = lambda df: sorted((r["side"], r["feature"], r["bias"], *r["vec"]) for r in df.collect())
+    whole = values(factors.fit(x, of(30), of(12), config))
+    held, shared = [], []
+    to_arrow, broadcast = type(x).toArrow, type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(x), "toArrow", lambda df: [t := to_arrow(df), "vec" in t.column_names and held.append(t.num_rows)][0])
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda sc, v: [b := broadcast(sc, v), shared.append(b)][0])
+    monkeypatch.setattr(factors, "FETCH", 5)
+    assert values(factors.fit(x, of(30), of(12), config)) == whole
+    assert held and max(held) <= 5
+    assert len(shared) == 2 and not any(os.path.exists(b._path) for b in shared)
+
+
 def test_factors_do_not_depend_on_partitions(spark):
     rng = np.random.default_rng(4)
     data = [(int(u), int(i), float(rng.integers(1, 5))) for u in range(30) for i in range(12) if rng.random() < 0.3 or u == 0] + [(None, 1, 1.0), (1, None, 1.0), (500, 1, 1.0)]
