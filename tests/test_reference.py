@@ -259,6 +259,29 @@ def test_linear_by_shared_matrix_equals_tables(spark, monkeypatch, n, dense):
     assert linear.fit(x.where("false"), config).count() == 0
 
 
+@pytest.mark.parametrize("hot, block", [(4, 4_000_000), (0, 60)])
+def test_large_linear_fit_writes_no_products(spark, monkeypatch, hot, block):
+    rng = np.random.default_rng(8)
+    data = [(int(u), int(i), float(rng.integers(0, 5))) for u in range(60) for i in range(18) if rng.random() < 0.5 / (1 + i % 6)]
+    x = spark.createDataFrame(data, "user long, item long, weight double")
+    config = linear.LinearConfig(alpha=0.05, neighbours=5, tol=1e-11, max_iter=3000)
+    weights = lambda df: {(r["src"], r["dst"]): r["weight"] for r in df.collect()}
+    want = weights(linear.fit(x, config, 60))
+    monkeypatch.setattr(linear, "SHARED_ENTRIES", 5)
+    monkeypatch.setattr(linear, "HOT", hot)
+    monkeypatch.setattr(linear, "BATCH_NUMBERS", block)
+    for f in ("gram_half", "both_orders", "neighbours"):  # the ways that write a row for every pair of items
+        monkeypatch.setattr(linear, f, None, raising=False)
+    sim = linear.fit(x, config, 60)
+    got = weights(sim)
+    assert got.keys() == want.keys() and len(got) > 30 and all(got[k] == pytest.approx(want[k], abs=1e-7) for k in got)
+    off = {r["dst"]: r["violation"] for r in linear.violations(x, sim, config, 60).collect()}
+    assert len(off) == 18 and max(off.values()) < 1e-4
+    other = sim.withColumn("weight", F.when(F.col("dst") == 3, F.col("weight") * 2).otherwise(F.col("weight")))
+    assert {r["dst"] for r in linear.violations(x, other, config, 60).where("violation > 0.1").collect()} == {3}
+    assert weights(linear.fit(x, linear.LinearConfig(alpha=50.0, neighbours=5), 60)) == {}
+
+
 @pytest.mark.parametrize("options", [{}, {"exclude_seen": False}, {"pad_zero": True}, {"pad_zero": True, "exclude_seen": False}, {"candidates": [2, 3, 77]}, {"candidates": [77]}])
 def test_recommend_by_shared_weights_equals_join(spark, rows, monkeypatch, options):
     rng = np.random.default_rng(8)
