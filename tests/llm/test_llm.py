@@ -394,6 +394,17 @@ def test_all_lost_bytes_are_put_back(judged, blanks):
     assert len(bad) > blanks * 8 and judge.judge(bad)[0]
 
 
+def test_rules_rest_on_all_clean_records(spark):
+    texts = [f"größe {i} für über straße café naïve {i * 7}" for i in range(400)] + ["plain text", None, "bad \ufffd"]
+    cell, counts = E.train(spark.createDataFrame([(t,) for t in texts], "t string"), "t")
+    src = spark.createDataFrame([(t,) for t in texts], "t string").repartition(5)
+    model = E.Model(cell, counts)
+    assert E.validated_over(src, cell, counts) == E.validated(model, texts[:400])
+    assert E.tallies(model, texts[:400])[0, 0, :, -1].sum() > E.tallies(model, texts[:150])[0, 0, :, -1].sum() > 0
+    assert (E.tallies(model, texts[:150]) + E.tallies(model, texts[150:400]) == E.tallies(model, texts[:400])).all()
+    assert E.validated_over(src.where("t is null"), cell, counts) == E.Rules()
+
+
 def test_find_garbled_over_a_table(spark):
     texts = clean_texts()[:150]
     bad = [C.from_bytes(t.encode(), "cp1252") for t in texts[:30]]

@@ -11,8 +11,8 @@ stretch likeliest. A candidate's gain is its log likelihood less that of the str
 legacy encodings, which nearly always decode, are scored over runs of neighbouring stretches. A record is garbled if
 the likeliest candidate of any kind gains more than the margin of its kind.
 
-All that decides is validated on a bounded sample of clean records (`sample` of them, of any length), half of them garbled by random
-chains (records that are likelier by SURE after a repair are left out of the clean half): the margin of each kind of candidate is the middle of the widest range that makes the fewest errors, a clean
+All that decides is validated on all clean records with characters beyond ASCII, about half of them garbled by random chains in
+the tasks, of which sums reach the driver (records that are likelier by SURE after a repair are left out of the clean half): the margin of each kind of candidate is the middle of the widest range that makes the fewest errors, a clean
 record counting as CLEAN_WEIGHT garbled ones; what a legacy chain loses by odd neighbours and by stretches it doesn't
 apply to is another value than the first only if that saves more than one clean record; and by how much a further stretch of a garbled record may miss its margin is chosen by the number of texts restored exactly.
 
@@ -28,11 +28,12 @@ of any length.
 from __future__ import annotations
 
 import html
+import itertools
 import math
 import random
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -45,7 +46,6 @@ from ..session import spread
 from .chains import BEAM, CHAINS, LEADS, LEGACY, LOST, LOST_BYTES, PAIRS, PART, READ_AS, WHOLE, WRITTEN_IN, Flat, from_bytes, legacy_many, legacy_text, utf8_candidates
 from .grams import FOLDS, Model, count_grams
 
-VALIDATION_RECORDS = 3000
 #: How much more frequent clean records are taken to be than garbled ones.
 CLEAN_WEIGHT = 10
 #: A sample record that a repair makes likelier by more than this, on a log scale, is garbled after all and left out.
@@ -441,58 +441,98 @@ def garble_lost(text: str, rng: random.Random) -> str:
     return from_bytes(bytes(b for b in raw if b not in LOST_BYTES), rng.choice(("cp1252", "latin_1")))
 
 
-def best_margin(gains: np.ndarray, garbled: np.ndarray, true: int) -> tuple[float, float]:
+def best_margin(garbled: np.ndarray, clean: np.ndarray, true: int) -> tuple[float, float]:
     """(margin, errors): the middle of the widest range of MARGINS that make the fewest errors.
 
-    A clean record that is found counts as CLEAN_WEIGHT garbled ones that aren't.
+    garbled, clean: how many records each of MARGINS finds. A clean record that is found counts as CLEAN_WEIGHT garbled
+    ones that aren't.
     """
-    found = gains[None, :] > MARGINS[:, None]
-    errors = true - (found & garbled).sum(axis=1) + CLEAN_WEIGHT * (found & ~garbled).sum(axis=1)
+    errors = true - garbled + CLEAN_WEIGHT * clean
     best = errors == errors.min()
     spans = np.flatnonzero(np.diff(np.concatenate([[0], best, [0]]))).reshape(-1, 2)
     a, b = spans[(spans[:, 1] - spans[:, 0]).argmax()]
     return float(MARGINS[(a + b - 1) // 2]), float(errors.min())
 
 
-def validated(model: Model, clean: list[str], seed: int = 5) -> Rules:
-    """The rules that tell the garbled half of the sample from the clean one, and restore it, best."""
-    rng = random.Random(seed)
-    seen: list[tuple[str, str]] = []
-    for i, t in enumerate(clean):
-        other = garble(t, rng) if i % 2 else t
-        if (other == t) == (i % 2 == 0) and not _HARD.search(other):
-            seen.append((other, t))
-    rules = Rules()
-    surely = Batch([a for a, b in seen if a == b], model).gains(rules).max(axis=1, initial=-np.inf) > SURE
-    left_out = {a for (a, _), sure in zip([x for x in seen if x[0] == x[1]], surely) if sure}
-    seen = [(a, b) for a, b in seen if a != b or a not in left_out]
-    garbled = np.array([a != b for a, b in seen], bool)
-    if not garbled.any():
-        return rules
-    batch = Batch([a for a, _ in seen], model)
+def halves(clean: list[str], seed: int) -> list[tuple[str, str]]:
+    """(as shown, as it was): of each text itself or a garbled form, by the text alone, so in any order and any task."""
+    out: list[tuple[str, str]] = []
+    for t in clean:
+        rng = random.Random(zlib.crc32(t.encode("utf_8", "surrogatepass")) * 1_000_003 + seed)
+        half = rng.random() < 0.5
+        other = garble(t, rng) if half else t
+        if (other != t) == half and not _HARD.search(other):
+            out.append((other, t))
+    return out
 
-    def margins(rules: Rules) -> tuple[Rules, float]:
-        gains = batch.gains(rules)
+
+def tallies(model: Model, clean: list[str], seed: int = 5) -> np.ndarray:
+    """[odd, not_by_chain, kind, numbers] of the texts, to be added up over parts of them.
+
+    The numbers: how many garbled ones each of MARGINS finds, how many clean ones, and how many garbled ones there are.
+    """
+    many = len(MARGINS)
+    out = np.zeros((len(CHOICES["odd"]), len(CHOICES["not_by_chain"]), 4, 2 * many + 1), np.int64)
+    seen = halves(clean, seed)
+    if not seen:
+        return out
+    batch = Batch([a for a, _ in seen], model)
+    garbled = np.array([a != b for a, b in seen], bool)
+    usable = garbled | ~(batch.gains(Rules()).max(axis=1) > SURE)
+    gains = np.full((len(seen), 4), -np.inf)
+    if len(batch.rows):
+        e = batch.evidence
+        gains[batch.rows, :3] = np.maximum.reduceat(e.gain[batch.own, :, batch.of], batch.starts, axis=0)
+        applies, raw, odd = e.applies[batch.own], e.raw[batch.own, :, batch.of], e.odd[batch.own, :, batch.of]
+    for i, j in itertools.product(range(out.shape[0]), range(out.shape[1])):
+        if len(batch.rows):
+            other = np.float32(CHOICES["not_by_chain"][j])
+            gains[batch.rows, LEGACY] = best_runs(np.maximum(np.where(applies, raw - np.float32(CHOICES["odd"][i]) * odd, other), 2 * other), batch.starts)
         # a garbled record counts under the kind of candidate that explains it best
         kind = (gains - np.array(Rules().margins)).argmax(axis=1)
-        found = []
         for which in (WHOLE, PART, LOST, LEGACY):
-            counts = ~garbled | (kind == which)
-            true = int((garbled & (kind == which)).sum())
-            found.append(best_margin(gains[counts, which], garbled[counts], true) if true else (Rules().margins[which], 0.0))
+            for at, of in ((0, garbled & (kind == which)), (many, usable & ~garbled)):
+                out[i, j, which, at : at + many] = (gains[of, which][:, None] > MARGINS).sum(axis=0)
+            out[i, j, which, -1] = (garbled & (kind == which)).sum()
+    return out
+
+
+def chosen(sums: np.ndarray) -> Rules:
+    """The rules, but for the slack, that make the fewest errors on what was tallied."""
+    many = len(MARGINS)
+
+    def margins(rules: Rules) -> tuple[Rules, float]:
+        found = []
+        for which, n in enumerate(sums[CHOICES["odd"].index(rules.odd), CHOICES["not_by_chain"].index(rules.not_by_chain)]):
+            found.append(best_margin(n[:many], n[many:-1], int(n[-1])) if n[-1] else (Rules().margins[which], 0.0))
         return replace(rules, margins=tuple(m for m, _ in found)), found[LEGACY][1]
 
-    rules, best = margins(rules)
+    rules, best = margins(Rules())
     for name, values in CHOICES.items():
         for v in values:
             tried, errors = margins(replace(rules, **{name: v}))
             if errors < best - CLEAN_WEIGHT:
                 rules, best = tried, errors
-    exact = []
-    for slack in SLACKS:
-        out = batch.judge(replace(rules, slack=slack))
-        exact.append(sum(o[2] == b for o, (a, b) in zip(out, seen) if a != b))
-    return replace(rules, slack=SLACKS[int(np.argmax(exact))])
+    return rules
+
+
+def restored_exactly(model: Model, rules: Rules, clean: list[str], seed: int = 5) -> np.ndarray:
+    """By slack, how many garbled forms of the texts are restored exactly."""
+    seen = [(a, b) for a, b in halves(clean, seed) if a != b]
+    if not seen:
+        return np.zeros(len(SLACKS), np.int64)
+    batch = Batch([a for a, _ in seen], model)
+    gains = batch.gains(rules)
+    return np.array([sum(o[2] == b for o, (_, b) in zip(batch.judge(replace(rules, slack=slack), gains), seen)) for slack in SLACKS], np.int64)
+
+
+def validated(model: Model, clean: list[str], seed: int = 5) -> Rules:
+    """The rules that tell the garbled half of the texts from the clean one, and restore it, best."""
+    sums = tallies(model, clean, seed)
+    if not sums[..., -1].any():
+        return Rules()
+    rules = chosen(sums)
+    return replace(rules, slack=SLACKS[int(np.argmax(restored_exactly(model, rules, clean, seed)))])
 
 
 # -- over tables --------------------------------------------------------------------------------------------------
@@ -517,27 +557,58 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def clean_test() -> Callable[[str], bool]:
+    """looks_clean for many texts, that remembers stretches; ASCII texts without references are clean."""
+    known: dict[str, bool] = {}
+
+    def clean(t: str) -> bool:
+        if t.isascii() and "&" not in t:
+            return True
+        if _HARD.search(t):
+            return False
+        if len(known) > 500_000:
+            known.clear()
+        for s in stretches(t):
+            bad = known.get(s)
+            if bad is None:
+                bad = known[s] = decodes(s)
+            if bad:
+                return False
+        return True
+
+    return clean
+
+
+def validated_over(src: DataFrame, cell: np.ndarray, counts: np.ndarray) -> Rules:
+    """validated upon all clean records of src(t) with characters beyond ASCII; only sums of counts reach the driver."""
+    spark = src.sparkSession
+    model = spark.sparkContext.broadcast((cell, counts))
+
+    def summed(of: Callable[[Model, list[str]], np.ndarray]) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            here, clean, total = Model(*model.value), clean_test(), 0
+            for b in _groups(batches):
+                total = total + of(here, [t for t in b.column("t").to_pylist() if t and not t.isascii() and clean(t)])
+            if not isinstance(total, int):
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["at", "n"])
+
+        found = src.select("t").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+        out = np.zeros(of(None, []).shape, np.int64)
+        out.reshape(-1)[found.column("at").to_numpy()] = found.column("n").to_numpy()
+        return out
+
+    sums = summed(tallies)
+    if not sums[..., -1].any():
+        return Rules()
+    rules = chosen(sums)
+    return replace(rules, slack=SLACKS[int(np.argmax(summed(lambda here, texts: restored_exactly(here, rules, texts))))])
+
+
 def train(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
     """(cell, counts [cell, fold]) of the grams of all clean records. The cells, a bounded number, come to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, bool] = {}
-
-        def clean(t: str) -> bool:
-            if t.isascii() and "&" not in t:
-                return True
-            if _HARD.search(t):
-                return False
-            if len(known) > 500_000:
-                known.clear()
-            for s in stretches(t):
-                bad = known.get(s)
-                if bad is None:
-                    bad = known[s] = decodes(s)
-                if bad:
-                    return False
-            return True
-
+        clean = clean_test()
         for b in _groups(batches):
             texts = [t for t in b.column("t").to_pylist() if t and clean(t)]
             cell, counts = count_grams(texts, [fold(t) for t in texts])
@@ -551,15 +622,18 @@ def train(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
     return cell[order], np.stack([found.column(f"w{k}").to_numpy()[order] for k in range(FOLDS)], axis=1)
 
 
-def find_garbled(df: DataFrame, key: str, text: str, sample: int = VALIDATION_RECORDS) -> DataFrame:
-    """(key, garbled, gain, restored) for every record."""
+def find_garbled(df: DataFrame, key: str, text: str, sample: int | None = None) -> DataFrame:
+    """(key, garbled, gain, restored) for every record. The rules are validated on all clean records; with `sample` on
+    so many of them."""
     spark = df.sparkSession
     src = spread(df.select(F.col(key).alias("k"), F.col(text).alias("t")))
     cell, counts = train(src, "t")
-    beyond = src.where(F.col("t").rlike(r"[^\x00-\x7F]") & ~F.col("t").rlike(r"[�\u0080-\u009F]"))
-    picked = beyond.select("t").orderBy(F.xxhash64("t"), "t").limit(2 * sample)
-    clean = [r["t"] for r in picked.collect() if looks_clean(r["t"])][:sample]
-    rules = validated(Model(cell, counts), clean)
+    if sample is None:
+        rules = validated_over(src, cell, counts)
+    else:
+        beyond = src.where(F.col("t").rlike(r"[^\x00-\x7F]") & ~F.col("t").rlike(r"[�\u0080-\u009F]"))
+        picked = beyond.select("t").orderBy(F.xxhash64("t"), "t").limit(2 * sample)
+        rules = validated(Model(cell, counts), [r["t"] for r in picked.collect() if looks_clean(r["t"])][:sample])
     shared = spark.sparkContext.broadcast((cell, counts, rules))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
