@@ -282,6 +282,27 @@ def test_large_linear_fit_writes_no_products(spark, monkeypatch, hot, block):
     assert weights(linear.fit(x, linear.LinearConfig(alpha=50.0, neighbours=5), 60)) == {}
 
 
+def test_judging_a_large_fit_makes_no_products_again(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    data = [(int(u), int(i), float(rng.integers(1, 5))) for u in range(40) for i in range(12) if rng.random() < 0.5] + [(50, 70, 3.0), (51, 0, 0.5), (51, 71, 0.01)]
+    x = spark.createDataFrame(data, "user long, item long, weight double")
+    config = linear.LinearConfig(alpha=0.05, neighbours=5, tol=1e-11, max_iter=3000)
+    monkeypatch.setattr(linear, "SHARED_ENTRIES", 5)
+    passes, jobs = [], linear._nearest_jobs
+    monkeypatch.setattr(linear, "_nearest_jobs", lambda *given: passes.append(1) or jobs(*given))
+    matrix = linear.LargeMatrix(x)
+    sim = linear.fit(x, config, 60, matrix=matrix).cache()
+    off = lambda sim, matrix: {r["dst"]: round(r["violation"], 3) for r in linear.violations(x, sim, config, 60, matrix).collect()}
+    # 70 has no neighbour; the product of 71 can't reach the penalty
+    assert off(sim, matrix) == dict.fromkeys([*range(12), 71], 0.0) and len(passes) == 1
+    # weights that are missing, or where there should be none
+    less = off(sim.where("dst <> 3"), matrix)
+    assert {d for d, v in less.items() if v} == {3} and less == off(sim.where("dst <> 3"), None)
+    more = off(sim.union(spark.createDataFrame([(0, 71, 0.5)], sim.schema)), matrix)
+    assert {d for d, v in more.items() if v} == {71}
+    matrix.discard()
+
+
 @pytest.mark.parametrize("options", [{}, {"exclude_seen": False}, {"pad_zero": True}, {"pad_zero": True, "exclude_seen": False}, {"candidates": [2, 3, 77]}, {"candidates": [77]}])
 def test_recommend_by_shared_weights_equals_join(spark, rows, monkeypatch, options):
     rng = np.random.default_rng(8)
