@@ -330,6 +330,33 @@ def test_recommend_in_parts_joins_nothing_by_pairs(spark, rows, monkeypatch, exc
     assert of() == want and len(want) == 29 * 4
 
 
+@pytest.mark.parametrize("mapped, values", [(True, 5), (True, 1000), (False, 5)])
+def test_shared_rows_leave_one_copy_and_pass_no_driver(spark, monkeypatch, mapped, values):
+    rng = np.random.default_rng(4)
+    dense = rng.integers(0, values, (30, 20)) * (rng.random((30, 20)) < 0.4) * 1.0
+    r, c = np.nonzero(dense)
+    entries = spark.createDataFrame(list(zip(r.tolist(), c.tolist(), dense[r, c].tolist())), "r long, c int, v double")
+    monkeypatch.setattr(shared, "PART", 60)
+    monkeypatch.setattr(shared, "FETCH", 25)
+    if mapped:
+        monkeypatch.setattr(type(spark.sparkContext), "broadcast", None)  # a copy for the driver and each executor
+    else:
+        monkeypatch.setattr(shared, "shared_path", lambda *_: None)
+    held = shared.SharedRows(entries, 20)
+    asked = np.array([3, 29, 3, 0, 7])
+    place, column, value = held.entries(asked)
+    got = np.zeros((5, 20))
+    got[place, column] = value
+    assert len(held.parts) > (2 if mapped else 0) and (got == dense[asked]).all()
+    totals = np.zeros((2, 20))
+    for first, of, column, total in held.products(np.array([0, 2, 5]), asked, np.array([1.0, 2.0, 3.0, 4.0, 5.0])):
+        totals[first + np.repeat(np.arange(len(of) - 1), np.diff(of)), column] = total
+    assert np.allclose(totals, [dense[3] + 2 * dense[29], 3 * dense[3] + 4 * dense[0] + 5 * dense[7]])
+    held.discard()
+    assert held.parts == [] and not (mapped and os.path.exists(held.folder))
+    assert shared.SharedRows(entries.where("false"), 20).parts == []
+
+
 NINE = [("u1", "i1", 5.0), ("u1", "i3", 4.0), ("u1", "i4", 5.0), ("u2", "i1", 4.0), ("u2", "i2", 3.0), ("u2", "i4", 4.0), ("u3", "i2", 4.0), ("u3", "i3", 2.0), ("u3", "i4", 1.0)]
 
 
