@@ -461,3 +461,37 @@ def test_items_of_all_users_equal_sql(spark, name):
     con.execute("create view events as select * from '/root/testdata/sf0.001/events.parquet'")
     want = set(con.execute(reference.ORACLE[name]).fetchall())
     assert want and {(r["user"], r["item"]) for r in reference.QUERIES[name](spark, "/root/testdata/sf0.001").collect()} == want
+
+
+def test_hybrid_query_hears_its_linear_model(spark, monkeypatch):
+    from tidemark.plans import reference
+
+    small, d = factors.FactorConfig(dim=3, epochs=1, shards=2), "/root/testdata/sf0.001"
+    monkeypatch.setattr(factors, "FactorConfig", lambda: small)
+    x, users, items, params = trained = reference._fm(spark, d)
+    monkeypatch.setattr(reference, "_fm", lambda *_: trained)
+    got = {}
+    for r in reference.hybrid_recommend(spark, d).orderBy("user", "rank").collect():
+        got.setdefault(r["user"], []).append((r["item"], r["score"]))
+    by_user, weights, contacts = {}, {}, {(r["user"], r["item"]): r["contacts"] for r in ops.contact_counts(reference._ix(spark, d)).collect()}
+    for r in x.collect():
+        by_user.setdefault(r["user"], {})[r["item"]] = r["weight"]
+    for r in linear.fit(x, reference.SLIM, len(by_user)).collect():
+        weights.setdefault(r["src"], []).append((r["dst"], r["weight"]))
+    want, heard = {}, 0
+    for r in ranking.min_max(factors.recommend(params, users, items, None, 10)).collect():
+        want.setdefault(r["user"], {})[r["item"]] = r["score"]
+    for u, own in by_user.items():
+        s = {}
+        for i, v in own.items():
+            for j, w in weights.get(i, []):
+                s[j] = s.get(j, 0) + v * w
+        best = dict(sorted(s.items(), key=lambda e: (-round(e[1], 9), e[0]))[:10])
+        for j, v in best.items():
+            n = contacts.get((u, j), 0)
+            heard += n > 0
+            want[u][j] = want[u].get(j, 0) + 2 * n / (n + 2) * (v - min(best.values())) / (max(best.values()) - min(best.values()) + 1e-8)
+    assert got.keys() == want.keys() and heard > 100
+    for u, found in got.items():
+        assert [v for _, v in found] == pytest.approx(sorted(want[u].values(), reverse=True)[:10], abs=1e-6)
+        assert [v for _, v in found] == pytest.approx([want[u][i] for i, _ in found], abs=1e-6)
